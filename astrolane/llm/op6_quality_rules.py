@@ -60,7 +60,7 @@ class Rules:
     #: a line of so many words or more that closes with no punctuation fails if it has no lower-case letter either
     shout_words: int = 4
     #: a document must keep more than this share of its words
-    min_kept: float = 0.5
+    min_kept: float = 0.25
 
 
 def count_repeated(words: list[bytes], window: int = WINDOW) -> int:

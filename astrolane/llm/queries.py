@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op5_exact_dedup, op6_quality_rules, op10_sharding
+from astrolane.llm import op2_token_counts, op3_piece_codec, op5_exact_dedup, op6_quality_rules, op10_sharding
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": op2_token_counts.op2_token_counts,
+        "op3_piece_codec": op3_piece_codec.op3_piece_codec,
         "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
         "op10_jump_sharding": op10_sharding.op10_jump_sharding,
