@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op2_token_counts, op3_piece_codec, op5_exact_dedup, op6_quality_rules, op10_sharding
+from astrolane.llm import op2_token_counts, op3_piece_codec, op5_exact_dedup, op6_quality_rules, op9_best_fit_packing, op10_sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_piece_codec": op3_piece_codec.op3_piece_codec,
         "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
+        "op9_best_fit_packing": op9_best_fit_packing.op9_best_fit_packing,
         "op10_jump_sharding": op10_sharding.op10_jump_sharding,
     }
 
