@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op2_token_counts, op3_piece_codec, op5_exact_dedup, op6_quality_rules, op9_best_fit_packing, op10_sharding
+from astrolane.llm import op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op9_best_fit_packing, op10_sharding
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": op2_token_counts.op2_token_counts,
         "op3_piece_codec": op3_piece_codec.op3_piece_codec,
+        "op4_secret_scans": op4_secret_scans.op4_secret_scans,
         "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
         "op9_best_fit_packing": op9_best_fit_packing.op9_best_fit_packing,
