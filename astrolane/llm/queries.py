@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op9_best_fit_packing, op10_sharding
+from astrolane.llm import op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_secret_scans": op4_secret_scans.op4_secret_scans,
         "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
+        "op8_language_id": op8_language_id.op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing.op9_best_fit_packing,
         "op10_jump_sharding": op10_sharding.op10_jump_sharding,
     }
