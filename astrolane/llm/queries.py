@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_sharding
+from astrolane.llm import op1_warc_index, op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_sharding
 
 
 def queries() -> dict:
     return {
+        "op1_warc_index": op1_warc_index.op1_warc_index,
         "op2_token_counts": op2_token_counts.op2_token_counts,
         "op3_piece_codec": op3_piece_codec.op3_piece_codec,
         "op4_secret_scans": op4_secret_scans.op4_secret_scans,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": op5_exact_dedup.SQL}
+    return {"op1_warc_index": op1_warc_index.SQL, "op5_exact_dedup": op5_exact_dedup.SQL}
