@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from astrolane.llm import op1_warc_index, op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_sharding
+from astrolane.llm import op1_warc_index, op2_token_counts, op3_piece_codec, op4_secret_scans, op5_exact_dedup, op6_quality_rules, op7_jaccard_join, op8_language_id, op9_best_fit_packing, op10_sharding
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secret_scans": op4_secret_scans.op4_secret_scans,
         "op5_exact_dedup": op5_exact_dedup.op5_exact_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
+        "op7_jaccard_join": op7_jaccard_join.op7_jaccard_join,
         "op8_language_id": op8_language_id.op8_language_id,
         "op9_best_fit_packing": op9_best_fit_packing.op9_best_fit_packing,
         "op10_jump_sharding": op10_sharding.op10_jump_sharding,
