@@ -14,12 +14,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from astrolane.session import ship
+
 #: The ASCII white space that separates words in every text operator.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark only."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +47,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str = "job"):
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/astrolane-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)

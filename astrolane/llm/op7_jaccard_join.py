@@ -2,13 +2,15 @@
 
 1. Each text becomes its set of hashed shingles.  Equal sets are one class.
 2. Candidates.  Two sets of similarity t differ in (1 - t) / (1 + t) of their
-   summed sizes at most, d elements for the sizes of one interval.  Cut into
-   d + 1 parts by hash, they agree in a whole part; so a set emits a signature for
-   each part, once for its size interval and once for the one below.  A part
-   that is empty says nothing and is replaced by signatures of a second cut.
-   No linked pair is missed, and passages that many documents share make no
-   candidates.  Sets that share signatures, directly or through others, form a
-   cluster; edges run to the least set of a signature, never between all pairs.
+   summed sizes at most, d elements for the sizes of one interval.  Cut into a
+   few more than d parts by hash, they agree in more parts than either has empty
+   ones; so a set emits a signature for each part that isn't empty, once for its
+   size interval and once for the one below.  A set with too many empty parts is
+   cut once more by another hash, as every set is that agrees with it in empty
+   parts alone.  No linked pair is missed, and passages that many documents share
+   make no candidates.  Sets that share signatures, directly or through others,
+   form a cluster; edges run to the least set of a signature, never between all
+   pairs, and equal signatures are combined where they are made.
 3. In a cluster every set is compared with one hub; those that link are joined.
 4. What did not link is compared by signature trees.  Sets are dealt into blocks
    by size; each pair of blocks that has unlinked sets and fitting sizes is a
@@ -112,13 +114,15 @@ class Signer:
 
     def __init__(self, sizes: Sizes):
         self.sizes = sizes
-        self.schemes: dict[int, tuple[int, np.ndarray]] = {}
+        self.schemes: dict[int, tuple[int, int, np.ndarray]] = {}
         self.intervals: dict[int, int] = {}
 
-    def scheme(self, k: int) -> tuple[int, np.ndarray]:
+    def scheme(self, k: int) -> tuple[int, int, np.ndarray]:
+        """How many parts, how many of them agree at least, and where they end."""
         if k not in self.schemes:
-            parts = self.sizes.differ(k) + 1
-            self.schemes[k] = parts, np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+            d = self.sizes.differ(k)
+            parts = d + 2 + d // 12 if d else 1
+            self.schemes[k] = parts, parts - d, np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
         return self.schemes[k]
 
     def sign(self, s: np.ndarray) -> np.ndarray:
@@ -127,22 +131,21 @@ class Signer:
         if len(s) not in self.intervals:
             self.intervals[len(s)] = self.sizes.interval(len(s))
         own = self.intervals[len(s)]
-        return np.unique(np.concatenate([self._cut(s, k, np.uint64(k + 1), 0) for k in (own, own - 1) if k >= 0]))
-
-    def _cut(self, s: np.ndarray, k: int, tag: np.uint64, depth: int) -> np.ndarray:
-        parts, edges = self.scheme(k)
-        with np.errstate(over="ignore"):
-            salt = tag * _ODD[depth % 7]
-            x = s if depth == 0 else np.sort(mix(s + salt))
-            at = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x + _ODD[1]), dtype=np.uint64)])
-            number = np.arange(parts, dtype=np.uint64)
-            out = mix(sums[at[1:]] - sums[at[:-1]] + mix(number * _ODD[2] + salt + _ODD[3]))
-            empty = np.flatnonzero(at[1:] == at[:-1])
-            if not len(empty):
-                return out
-            more = [self._cut(s, k, mix(np.array([tag * _ODD[4] + np.uint64(j) + np.uint64(1)], dtype=np.uint64))[0], depth + 1) for j in empty]
-            return np.concatenate([np.delete(out, empty), *more])
+        return np.concatenate([x for k in (own, own - 1) if k >= 0 for x in self._cuts(s, k)])
+
+    def _cuts(self, s: np.ndarray, k: int) -> Iterator[np.ndarray]:
+        parts, agree, edges = self.scheme(k)
+        number = mix(np.arange(parts, dtype=np.uint64) * _ODD[2] + np.uint64(k + 1) * _ODD[3])
+        for again in range(64):
+            with np.errstate(over="ignore"):
+                x = s if not again else np.sort(mix(s + np.uint64(again) * _ODD[5]))
+                at = np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x + _ODD[1]), dtype=np.uint64)])
+                signs = mix(sums[at[1:]] - sums[at[:-1]] + number + np.uint64(again) * _ODD[6])
+            full = at[1:] > at[:-1]
+            yield signs[full]
+            if parts - int(full.sum()) < agree:  # some part in which a linked set agrees is not empty
+                return
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -266,31 +269,68 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _SHINGLERS.setdefault(width, Shingler(width))
+        for b in batches:
+            rows = [(len(s), *_key(s)) for s in map(shingler.set_of, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["doc_id", "n", "k1", "k2"])
+
+    every = scratch.write(frame.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long"), "sets")
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(sign, doc) once for each signature of a batch, and (any, doc, hub) for the others' edges to that document."""
         shingler, signer = _SHINGLERS.setdefault(width, Shingler(width)), _SIGNERS.setdefault(rule, Signer(rule))
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for low in range(0, len(texts), 1000):
-                seen, n, k1, k2, signs = set(), [], [], [], []
-                for t in texts[low : low + 1000]:
-                    s = shingler.set_of(t)
-                    key = _key(s)
-                    n.append(len(s))
-                    k1.append(key[0])
-                    k2.append(key[1])
-                    signs.append(None if key in seen or not len(s) else signer.sign(s).view(np.int64))
+            seen, signs, owners = set(), [], []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                s = shingler.set_of(t)
+                if len(s) and i is not None and (key := _key(s)) not in seen:
                     seen.add(key)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(low, len(n)), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "signs"])
-
-    every = scratch.write(frame.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long, signs array<long>"), "sets")
-    # candidates: from each signature that two sets or more share, edges to the least of them
-    signed = every.filter("signs is not null").select("k1", F.explode("signs").alias("sign"))
-    shared = signed.groupBy("sign").agg(F.min("k1").alias("hub"), F.max("k1").alias("top")).filter("hub < top").select("sign", "hub")
-    pairs = signed.join(shared, "sign").filter("k1 <> hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+                    signs.append(signer.sign(s).view(np.int64))
+                    owners.append(i)
+            if not signs:
+                continue
+            doc = np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in signs])
+            sign = np.concatenate(signs)
+            order = np.lexsort((doc, sign))
+            sign, doc = sign[order], doc[order]
+            head = np.concatenate([[True], sign[1:] != sign[:-1]])
+            hub = doc[head][np.cumsum(head) - 1]
+            edge = np.unique(np.stack([doc[~head], hub[~head]]), axis=1)
+            edge = edge[:, edge[0] != edge[1]]
+            out_sign, out_doc = np.concatenate([sign[head], edge[0] * np.int64(0x9E3779B9)]), np.concatenate([doc[head], edge[0]])
+            out_hub = pa.array(np.concatenate([doc[head], edge[1]]), mask=np.concatenate([np.ones(int(head.sum()), bool), np.zeros(edge.shape[1], bool)]))
+            for low in range(0, len(out_sign), 200_000):
+                n = min(200_000, len(out_sign) - low)
+                yield pa.RecordBatch.from_arrays([pa.array(out_sign[low : low + n]), pa.array(out_doc[low : low + n]), out_hub.slice(low, n)], names=["sign", "doc", "hub"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run of a signature, edges to its least document."""
+        sign_before, first = None, None
+        for b in batches:
+            made = b.column("hub").is_valid().to_numpy(zero_copy_only=False)
+            doc = b.column("doc").to_numpy()
+            a1, b1 = doc[made], b.column("hub").filter(b.column("hub").is_valid()).to_numpy()
+            sign, doc = b.column("sign").to_numpy()[~made], doc[~made]
+            a2 = b2 = doc[:0]
+            if len(sign):
+                head = np.concatenate([[sign_before is None or sign[0] != sign_before], sign[1:] != sign[:-1]])
+                starts = np.concatenate([[0 if first is None else first], doc[head]])
+                hub = starts[np.cumsum(head)]
+                sign_before, first = sign[-1], hub[-1]
+                apart = hub != doc
+                a2, b2 = doc[apart], hub[apart]
+            pairs = np.unique(np.stack([np.concatenate([a1, a2]), np.concatenate([b1, b2])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    signed = frame.mapInArrow(signatures, "sign long, doc long, hub long")
+    pairs = signed.repartition("sign").sortWithinPartitions("sign", "doc").mapInArrow(edges, "a long, b long").distinct()
     clusters = components(scratch.write(pairs, "pairs"), scratch, "clusters")
 
     classes = every.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = scratch.write(classes, "classes")
-    members = classes.filter("rep is not null").join(clusters, classes["k1"] == clusters["node"]).select("rep", F.col("k1").alias("m1"), F.col("k2").alias("m2"), "n", F.col("label").alias("cluster"))
+    named_docs = every.select("doc_id", F.col("k1").alias("m1"), F.col("k2").alias("m2")).join(clusters, F.col("doc_id") == F.col("node")).select(F.col("label").alias("cluster"), "m1", "m2").distinct()
+    several = named_docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("cluster").alias("many"))
+    members = named_docs.join(several, F.col("cluster") == F.col("many")).join(classes, (F.col("m1") == F.col("k1")) & (F.col("m2") == F.col("k2"))).select("rep", "m1", "m2", "n", "cluster")
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Where an id repeats, only the text that the set was made of stays."""
@@ -314,7 +354,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
                 ok.append(rule.linked(len(s), len(hub), overlap(s, hub)))
             yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), b.column("n"), b.column("hub_rep"), pa.array(ok, pa.bool_())], names=["cluster", "rep", "n", "hub_rep", "linked"])
 
-    hubs = texts.filter("m1 = cluster").groupBy("cluster").agg(F.min(F.struct("rep", "text")).alias("h")).select(F.col("cluster").alias("hub_cluster"), F.col("h.rep").alias("hub_rep"), F.col("h.text").alias("hub_text"))
+    hubs = texts.groupBy("cluster").agg(F.min(F.struct("rep", "text")).alias("h")).select(F.col("cluster").alias("hub_cluster"), F.col("h.rep").alias("hub_rep"), F.col("h.text").alias("hub_text"))
     met = texts.join(hubs, texts["cluster"] == hubs["hub_cluster"]).select("cluster", "rep", "n", "text", "hub_rep", "hub_text")
     star = scratch.write(met.mapInArrow(against_hub, "cluster long, rep long, n long, hub_rep long, linked boolean"), "star")
 
