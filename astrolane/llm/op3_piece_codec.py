@@ -19,6 +19,7 @@ from __future__ import annotations
 import binascii
 import itertools
 import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolane.llm.common import Scratch, table
-from astrolane.llm.pieces import MARK, UNKNOWN, PieceModel, model, words_of
+from astrolane.llm.pieces import MARK, UNKNOWN, Kept, PieceModel, model
 
 MODEL = "piece_bpe_32k.model"
 #: The one state where a word starts at the boundary itself: nothing stretches over it.
@@ -39,25 +40,14 @@ Matrix = dict[State, dict[State, int]]
 
 
 class ChunkCoder:
-    """Chunks of a marked text: their matrices and their tokens. Keeps the tokens of words, within a bound."""
+    """Chunks of a marked text: their matrices and their tokens. Keeps the tokens of words."""
 
     def __init__(self, pieces: PieceModel):
         self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        made = self.known.get(word)
-        if made is None:
-            made = np.array(self.pieces.ids_of(word), dtype="<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.known) >= self.pieces.cache:
-                    self.known.clear()
-                self.known[word] = made
-        return made
+        self.kept = Kept(lambda word: array("I", pieces.ids_of(word)).tobytes())
 
     def words(self, marked: str) -> bytes:
-        get, word = self.known.get, self._word
-        return b"".join([get(w) or word(w) for w in words_of(marked)])
+        return b"".join(self.kept.many(marked))
 
     def starts(self, text: str, at: int) -> bool:
         """Whether a word starts at text[at], which is behind another character."""
@@ -190,7 +180,7 @@ _CODERS: dict[str, ChunkCoder] = {}
 
 
 def _coder(path: str) -> ChunkCoder:
-    return _CODERS.setdefault(path, ChunkCoder(model(path)))
+    return _CODERS.get(path) or _CODERS.setdefault(path, ChunkCoder(model(path)))
 
 
 def encode_chunks(coder: ChunkCoder, text: str, chunk: int) -> list[bytes]:

@@ -13,11 +13,15 @@ behind such runs are encoded by the library, prefix by prefix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import sentencepiece
 
 MARK = "▁"
 #: Stands for a character that has no piece and becomes bytes.
 UNKNOWN = ""
+#: Characters of a word, its mark among them, whose chain is kept for other words.
+HEAD = 6
 
 
 class PieceModel:
@@ -46,6 +50,7 @@ class PieceModel:
                 self.made[p], self.halves[p] = self.rank[p], (parts[0], parts[1])
                 self.reached.add(p)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.heads: dict[str, tuple[list[str | None], list[int]]] = {}
         self.cache = cache
 
     def merge(self, text: str, until: int = 1) -> list[str]:
@@ -92,11 +97,26 @@ class PieceModel:
                 before, right = b + 1, self.halves[right][0]
 
     def prefixes(self, text: str, before: str = UNKNOWN) -> tuple[list[str | None], list[int]]:
-        """For each prefix of text: its last piece after `before` (None: there is no such chain), and its token count."""
-        n, reached, pairs, longest = len(text), self.reached, self.pairs, self.longest
-        last: list[str | None] = [before] + [None] * n
-        count = [0] * (n + 1)
-        for i in range(1, n + 1):
+        """For each prefix of text: its last piece after `before` (None: there is no such chain), and its token count.
+
+        Words share beginnings; what was found for the first HEAD characters is kept.
+        """
+        n = len(text)
+        if before != UNKNOWN or n <= HEAD:
+            last: list[str | None] = [before] + [None] * n
+            return self._extend(text, last, [0] * (n + 1), 1)
+        head = text[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) >= self.cache:
+                self.heads.clear()
+            known = self.heads[head] = self._extend(head, [UNKNOWN] + [None] * HEAD, [0] * (HEAD + 1), 1)
+        more = n - HEAD
+        return self._extend(text, known[0] + [None] * more, known[1] + [0] * more, HEAD + 1)
+
+    def _extend(self, text: str, last: list[str | None], count: list[int], at: int) -> tuple[list[str | None], list[int]]:
+        reached, pairs, longest = self.reached, self.pairs, self.longest
+        for i in range(at, len(text) + 1):
             for j in range(i - longest if i > longest else 0, i):
                 piece = text[j:i]
                 if piece in reached and (prev := last[j]) is not None:
@@ -154,6 +174,37 @@ def words_of(marked: str) -> list[str]:
     return out
 
 
+class Kept:
+    """What was made of each word, in two generations: what is still in use moves on when the younger one is full.
+
+    many() takes words without their mark; make() gets them with it.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int = 250_000):
+        self.make, self.size = make, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def one(self, word: str) -> bytes:
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(MARK + word)
+        if len(word) <= 64:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[word] = made
+        return made
+
+    def many(self, marked: str) -> list[bytes]:
+        """For each word of a marked string."""
+        words = marked.split(MARK)[1:] if MARK * 2 not in marked else [w[1:] for w in words_of(marked)]
+        got = list(map(self.young.get, words))
+        if None in got:
+            one, get = self.one, self.young.get
+            got = [v if v is not None else get(w) or one(w) for w, v in zip(words, got, strict=True)]
+        return got
+
+
 _MODELS: dict[str, PieceModel] = {}
 
 
