@@ -13,14 +13,17 @@ runs of ranks that the rounds laid down.
 
 from __future__ import annotations
 
+import base64
 import binascii
 import re
+import struct
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from astrolane.llm.common import Scratch, table
 
 MODEL = "byte_bpe_50k.json"
+#: The same vocabulary as ranks.
+RANKS = "byte_bpe_50k.tiktoken"
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
@@ -38,29 +43,47 @@ class ByteCoder:
     The model's pattern never joins a character that is no space to a space behind
     it, so a text can be cut there, and the parts are looked up; texts with spaces
     other than blank and newline, or with special strings, go to the library whole.
+    ranks: a file with the same vocabulary as ranks, which encodes parts that are
+    not known yet faster.  Parts are kept in two generations: what is still in use
+    moves on when the younger one is full.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, ranks: str | None = None, cache: int = 250_000):
         self.lib = tokenizers.Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cache = cache
+        self.fast = None
+        if ranks:
+            with open(ranks, "rb") as f:
+                table_ = {base64.b64decode(a): int(r) for a, r in (line.split() for line in f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        parts = [None if _ODD_SPACE.search(t) or any(s in t for s in self.special) else _PIECES.findall(t) for t in texts]
-        known = self.known
-        new = list({p for own in parts if own for p in own if p not in known})
-        if len(known) + len(new) > self.cache:
-            known.clear()
-            new = list({p for own in parts if own for p in own})
-        for at in range(0, len(new), 10_000):
-            for p, e in zip(new[at : at + 10_000], self.lib.encode_batch(new[at : at + 10_000], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [self.whole(t) if own is None else b"".join([known[p] for p in own]) for t, own in zip(texts, parts, strict=True)]
+    def part(self, text: str) -> bytes:
+        """Ids of a part that the younger generation doesn't have."""
+        made = self.old.get(text)
+        if made is None:
+            ids = self.fast.encode_ordinary(text) if self.fast else self.lib.encode(text, add_special_tokens=False).ids
+            made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= 64:
+            if len(self.young) >= self.cache:
+                self.old, self.young = self.young, {}
+            self.young[text] = made
+        return made
+
+    def ids(self, text: str) -> bytes:
+        if _ODD_SPACE.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        parts = _PIECES.findall(text)
+        got = list(map(self.young.get, parts))
+        if None in got:
+            part = self.part
+            got = [part(p) if v is None else v for p, v in zip(parts, got, strict=True)]
+        return b"".join(got)
 
 
 _CODERS: dict[str, ByteCoder] = {}
@@ -74,19 +97,19 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int | None, model_path: str, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, end_id: int | None, model_path: str, ranks: str | None, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     frame = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _CODERS.setdefault(model_path, ByteCoder(model_path))
+        coder = _CODERS.get(model_path) or _CODERS.setdefault(model_path, ByteCoder(model_path, ranks))
         for b in batches:
             ids, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
             for low in range(0, len(ids), 500):
                 rows = []
-                for i, raw in zip(ids[low : low + 500], coder.many(texts[low : low + 500]), strict=True):
-                    raw += tail
+                for i, text in zip(ids[low : low + 500], texts[low : low + 500], strict=True):
+                    raw = coder.ids(text) + tail
                     rows += [(i, k, at, n, binascii.crc32(raw[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(raw) // 4, capacity))]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -146,18 +169,20 @@ def rounds(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, model_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, model_path: str | None = None, ranks: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece.
 
     Every sequence is filled without gaps from offset 0 and holds capacity tokens
-    at most.  end_id: appended to each document, or None.  buckets: cells in which
+    at most.  ranks: the model's vocabulary as a rank file, if there is one.  end_id: appended to each document, or None.  buckets: cells in which
     a length class is ranked; take more of them with more rows.  Null text is
     empty and gives the one piece of the end id; repeated rows are packed each;
     an empty table gives no rows; other columns of any name are ignored.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    pieces = scratch.write(token_pieces(docs, capacity, end_id, model_path or public_tokenizers.path(MODEL), id_col, text_col), "pieces")
+    if model_path is None:
+        model_path, ranks = public_tokenizers.path(MODEL), public_tokenizers.path(RANKS)
+    pieces = scratch.write(token_pieces(docs, capacity, end_id, model_path, ranks, id_col, text_col), "pieces")
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")
     # capacity x buckets numbers at most, whatever the corpus holds
     cells = pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")).toPandas()
