@@ -10,6 +10,7 @@ longer prefix cheaper), so the cut is the longest prefix within the budget.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolane.llm.common import table
-from astrolane.llm.pieces import MARK, PieceModel, model, words_of
+from astrolane.llm.pieces import MARK, Kept, PieceModel, model
 
 MODEL = "piece_bpe_32k.model"
 
@@ -28,25 +29,14 @@ class PrefixCounter:
     """Prefix counts of texts; keeps those of words, within a bound."""
 
     def __init__(self, pieces: PieceModel):
-        self.pieces = pieces
-        self.known: dict[str, bytes] = {}
-
-    def __missing(self, word: str) -> bytes:
-        made = np.array(self.pieces.counts_of(word), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.known) >= self.pieces.cache:
-                self.known.clear()
-            self.known[word] = made
-        return made
+        self.kept = Kept(lambda word: array("I", pieces.counts_of(word)).tobytes())
 
     def counts(self, text: str) -> np.ndarray:
         """Token counts of text[:0], text[:1], ... text itself."""
         if not text:
             return np.zeros(1, dtype=np.int64)
-        known, missing = self.known, self.__missing
-        words = words_of(MARK + text.replace(" ", MARK))
-        own = [known.get(w) or missing(w) for w in words]
-        flat = np.frombuffer(b"".join(own), dtype="<u4").astype(np.int64)
+        own = self.kept.many(MARK + text.replace(" ", MARK))
+        flat = np.frombuffer(b"".join(own), dtype=np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) >> 2
         ends = np.cumsum(sizes)
         totals = flat[ends - 1]
@@ -75,7 +65,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, model_path: str | None = No
     frame = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.setdefault(path, PrefixCounter(model(path)))
+        counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, PrefixCounter(model(path)))
         for b in batches:
             size, tokens, fit, every = [], [], [], []
             for text in b.column("_text").to_pylist():
