@@ -1,11 +1,407 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries over the test tables, each with the SQL that other engines run.
+
+A query is a ``Flow``: one list of steps, rendered as a DataFrame and as SQL text.
+Pixels, words and dates are derived from the tables' columns; angles are rounded
+to six decimals and NaN becomes null, so that results compare across engines.
+"""
 
 from __future__ import annotations
 
+from astrolane.functions import geodesy, scaling, tabular, timescale, units
+from astrolane.functions import spectral as sp
+from astrolane.functions.distortion import Dss, Sip, Surface, Tnx, Tpv
+from astrolane.functions.projections import CODES, projection
+from astrolane.operators import celestial
+from astrolane.operators.checksum import fold
+from astrolane.operators.wcs import Tab, Wcs, compose_ltm
+from astrolane.stages import Flow, horner, num, wrap180, wrap360
+
+KEYS = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}
+
+
+def clean(e: str, digits: int = 6) -> str:
+    """A double that compares: rounded, without negative zero, null for NaN."""
+    return f"case when isnan({e}) then null else round({e}, {digits}) + 0.0 end"
+
+
+def pixels() -> Flow:
+    return Flow("lineitem").let(px="cast(l_orderkey % 1000 as double)", py="cast(l_partkey % 1000 as double)", pz="cast(l_linenumber as double)")
+
+
+def sky() -> Flow:
+    return Flow("lineitem").let(phi="(l_orderkey * 37 % 3600) / 10.0 - 180", theta="(l_partkey * 13 % 1780) / 10.0 - 89")
+
+
+def _out(flow: Flow, digits: int = 6, **cols: str) -> Flow:
+    return flow.select(**KEYS, **{n: clean(e, digits) for n, e in cols.items()})
+
+
+SMALL = {"NAXIS1": 1000, "NAXIS2": 1000, "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CRPIX1": 500.5, "CRPIX2": 500.5, "CRVAL1": 150.0, "CRVAL2": 30.0, "CDELT1": -0.01, "CDELT2": 0.01}
+PV = {"COP": {1: 45.0, 2: 20.0}, "COE": {1: 45.0, 2: 20.0}, "COD": {1: 45.0, 2: 20.0}, "COO": {1: 45.0, 2: 20.0}, "BON": {1: 45.0}, "ZPN": {0: 0.05, 1: 0.95, 2: -0.025, 3: -0.15833}, "AZP": {1: 2.0, 2: 30.0}, "SZP": {1: 2.0, 2: 180.0, 3: 60.0}, "SIN": {1: 0.1, 2: -0.2}, "CYP": {1: 1.0, 2: 0.7}, "CEA": {1: 0.8}, "AIR": {1: 45.0}}
+
+
+def pipelines() -> dict[str, Flow]:
+    out = {}
+    tan = Wcs.from_header(SMALL)
+    fwd = lambda w: pixels().stages(w.forward(["px", "py"], ["w1", "w2"]))
+    out["tan_pix2world"] = _out(fwd(tan), ra="w1", dec="w2")
+    out["tan_world2pix"] = _out(pixels().let(ra="150 + (px - 500) / 100", de="30 + (py - 500) / 100").stages(tan.inverse(["ra", "de"], ["x", "y"])), x="x", y="y")
+    sip = Wcs.from_header(SMALL | {"CTYPE1": "RA---TAN-SIP", "CTYPE2": "DEC--TAN-SIP", "A_2_0": 1.2e-6, "A_0_2": -8e-7, "A_1_1": 3e-7, "B_2_0": -5e-7, "B_0_2": 9e-7, "B_1_1": -2e-7, "A_3_0": 1e-10, "B_1_2": -2e-10})
+    tpv = Wcs.from_header(SMALL | {"CTYPE1": "RA---TPV", "CTYPE2": "DEC--TPV", "PV1_1": 1.0, "PV1_4": 1e-4, "PV1_7": 2e-5, "PV1_3": 1e-5, "PV2_1": 1.0, "PV2_4": 5e-5, "PV2_6": 1e-4, "PV2_11": 3e-6})
+    tnx_l, tnx_b = Surface(1, 3, 3, 2, (-6.0, 6.0, -6.0, 6.0), (1e-4, 2e-4, -1e-4, 3e-5, 1e-5, -2e-5)), Surface(2, 3, 3, 2, (-6.0, 6.0, -6.0, 6.0), (-1e-4, 1e-4, 2e-5, 1e-4, 4e-5, 1e-5))
+    out["sip_pix2world"] = _out(fwd(sip), ra="w1", dec="w2")
+    out["tpv_pix2world"] = _out(fwd(tpv), ra="w1", dec="w2")
+    out["sip_inverse"] = _out(fwd(sip).stages(sip.inverse(["w1", "w2"], ["x", "y"])).let(err="abs(x - px) + abs(y - py)"), 0, same="case when err < 1e-6 then 1e0 else 0e0 end", off="0e0 * err")
+    out["tpv_inverse"] = _out(fwd(tpv).stages(tpv.inverse(["w1", "w2"], ["x", "y"])).let(err="abs(x - px) + abs(y - py)"), 0, same="case when err < 1e-6 then 1e0 else 0e0 end", off="0e0 * err")
+    plane = pixels().let(x="(px - 500) / 100", y="(py - 500) / 100")
+    tnx = Tnx(tnx_l, tnx_b)
+    out["tnx_surface"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")), 9, tx="tx", ty="ty")
+    out["tnx_inverse"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")).stages(tnx.inverse("tx", "ty", "bx", "by_")), 8, bx="bx", by_="by_")
+    out["sip_polynomial"] = _out(pixels().stages(Sip({(2, 0): 1.2e-6, (1, 1): 3e-7}, {(0, 2): 9e-7, (3, 0): 1e-9}).forward("(px - 500)", "(py - 500)", "u", "v")), 8, u="u", v="v")
+    out["tpv_polynomial"] = _out(plane.stages(Tpv({1: 1.0, 4: 1e-3, 11: 1e-4, 39: 1e-8}, {1: 1.0, 5: 2e-3, 3: 1e-3, 23: 1e-6}).forward("x", "y", "tx", "ty")), 8, tx="tx", ty="ty")
+    dss = Dss(187.5, 12.0, 177500.0, 177500.0, 25.28445, 25.28445, 6500.0, 6500.0, (67.2, 0.06, -30.0, 1e-5, -1e-5, 2e-6, 0.0, 2e-6, 1e-7, 2e-6, 1e-7, 0.0, 0.0), (67.2, -0.06, 20.0, 2e-5, 1e-5, -1e-5, 0.0, 2e-6, 1e-7, 2e-6, 1e-7, 0.0, 0.0))
+    out["dss_pix2world"] = _out(pixels().stages(dss.forward("px + 1", "py + 1", "ra", "de")), ra="ra", dec="de")
+    out["dss_world2pix"] = _out(pixels().stages([*dss.forward("px + 1", "py + 1", "ra", "de"), *dss.inverse("ra", "de", "x", "y")]), 5, x="x", y="y")
+    cube = Wcs.from_header(SMALL | {"NAXIS": 3, "CTYPE3": "VRAD", "CRPIX3": 1.0, "CRVAL3": 1000.0, "CDELT3": 250.0, "CUNIT3": "m/s", "RESTFRQ": 1.42e9})
+    out["cube_pix2world"] = _out(pixels().stages(cube.forward(["px", "py", "pz"], ["w1", "w2", "w3"])), ra="w1", dec="w2", v="w3")
+    swap = Wcs.from_header(SMALL | {"CTYPE1": "DEC--SIN", "CTYPE2": "RA---SIN", "CRVAL1": -60.0, "CRVAL2": 10.0})
+    out["lat_first_pix2world"] = _out(pixels().stages(swap.forward(["px", "py"], ["w1", "w2"])), dec="w1", ra="w2")
+    for code, pv in (("AIT", {}), ("CAR", {}), ("SFL", {}), ("HPX", {}), ("COE", {"PV2_1": 45.0, "PV2_2": 20.0}), ("ZEA", {}), ("STG", {}), ("ARC", {})):
+        w = Wcs.from_header(SMALL | {"CTYPE1": f"GLON-{code}", "CTYPE2": f"GLAT-{code}", "CRVAL1": 40.0, "CRVAL2": 0.0 if code in ("AIT", "CAR", "SFL", "HPX") else 45.0, "CDELT1": -0.1, "CDELT2": 0.1} | pv)
+        out[f"{code.lower()}_pix2world"] = _out(fwd(w), lon="w1", lat="w2")
+    pole = Wcs.from_header(SMALL | {"CTYPE1": "RA---CAR", "CTYPE2": "DEC--CAR", "LONPOLE": 30.0, "LATPOLE": 60.0})
+    out["lonpole_pix2world"] = _out(fwd(pole), ra="w1", dec="w2")
+    moved = Wcs.from_header(SMALL | {"PV1_0": 1.0, "PV1_1": 0.0, "PV1_2": 80.0})
+    out["fiducial_pix2world"] = _out(fwd(moved), ra="w1", dec="w2")
+    corner = Flow("part").where("p_partkey < 400").let(corner="cast(p_partkey % 4 as double)")
+    out["footprint"] = corner.stages(tan.footprint_stages("corner", ["ra", "de"])).select(p_partkey="p_partkey", corner="corner", ra=clean("ra"), dec=clean("de"))
+    out["pixel_scale"] = _out(pixels().stages(tan.scale_stages(["px", "py"], "sx", "sy")), 5, sx="sx", sy="sy")
+    out["origin_one"] = _out(pixels().stages(tan.forward(["(px - 1)", "(py - 1)"], ["w1", "w2"])), ra="w1", dec="w2")
+    out["pixel_list_wcs"] = out["tan_pix2world"]
+    return out
+
+
+def linear() -> dict[str, Flow]:
+    out = {}
+    flat = {"CTYPE1": "X", "CTYPE2": "Y", "CRPIX1": 10.0, "CRPIX2": 20.0, "CRVAL1": 1.0, "CRVAL2": 2.0}
+    forms = {
+        "cd_apply": flat | {"CD1_1": 0.5, "CD1_2": -0.1, "CD2_1": 0.2, "CD2_2": 0.4},
+        "pc_cdelt_apply": flat | {"CDELT1": 0.1, "CDELT2": 0.2, "PC1_1": 0.8, "PC1_2": -0.6, "PC2_1": 0.6, "PC2_2": 0.8},
+        "crota_apply": SMALL | {"CROTA2": 25.0},
+    }
+    for name, h in forms.items():
+        w = Wcs.from_header(h)
+        out[name] = _out(pixels().stages(w.forward(["px", "py"], ["w1", "w2"])), w1="w1", w2="w2")
+        out[f"{name.split('_')[0]}_inverse"] = _out(pixels().stages([*w.forward(["px", "py"], ["w1", "w2"]), *w.inverse(["w1", "w2"], ["x", "y"])]), x="x", y="y")
+    m, c = compose_ltm([[0.5, -0.1], [0.2, 0.4]], [10.0, 20.0], [[0.5, 0.0], [0.0, 0.25]], [3.0, -2.0])
+    w = Wcs(("X", "Y"), tuple(c), (1.0, 2.0), tuple(map(tuple, m)))
+    out["ltm_compose"] = _out(pixels().stages(w.forward(["px", "py"], ["w1", "w2"])), w1="w1", w2="w2")
+    w3 = Wcs(("X", "Y", "Z"), (1.0, 2.0, 3.0), (0.5, 1.5, 2.5), ((1.0, 0.2, 0.1), (0.0, 0.9, -0.3), (0.4, 0.0, 1.1)))
+    out["matrix3d_apply"] = _out(pixels().stages(w3.forward(["px", "py", "pz"], ["a", "b", "c"])), a="a", b="b", c="c")
+    out["matrix3d_inverse"] = _out(pixels().stages([*w3.forward(["px", "py", "pz"], ["a", "b", "c"]), *w3.inverse(["a", "b", "c"], ["x", "y", "z"])]), x="x", y="y", z="z")
+    return out
+
+
+def projections() -> dict[str, Flow]:
+    out = {}
+    for code in CODES:
+        p = projection(code, PV.get(code))
+        f = sky() if p.theta0 != 90 or code == "XPH" else sky().where("theta > 20")
+        if code == "BON" or code in ("COP", "COE", "COD", "COO"):
+            f = f.where("theta > -40")
+        # next to a border between faces a hair decides which side a point is on
+        f = f.let(phi="phi + 0.0371", theta="theta + 0.0173")
+        fwd = f.stages(p.forward("phi", "theta")).let(x="_x", y="_y")
+        out[f"proj_{code.lower()}_s2x"] = _out(fwd, x="x", y="y")
+        out[f"proj_{code.lower()}_x2s"] = _out(fwd.stages(p.inverse("x", "y")), 5, phi2=wrap180("_phi"), theta2="_theta")
+    counts = None
+    for code in ("TAN", "SIN", "MER", "STG"):
+        p = projection(code)
+        one = sky().stages(p.forward("phi", "theta")).agg([], n="count(*)", good="sum(case when isnan(_x) then 0 else 1 end)").select(code=f"'{code}'", n="n", good="cast(good as bigint)")
+        counts = one if counts is None else counts.union(one)
+    out["proj_domain_counts"] = counts
+    return out
+
+
+def rotations() -> dict[str, Flow]:
+    out = {}
+    for name, crval, theta0, lonpole, latpole in (("zenithal", (150.0, 30.0), 90.0, None, None), ("cylindrical", (40.0, -25.0), 0.0, None, None), ("conic", (40.0, 50.0), 45.0, 10.0, None), ("latpole", (10.0, 0.0), 0.0, 90.0, 45.0), ("pole", (10.0, 90.0), 0.0, 0.0, None)):
+        rot = celestial.Rotation.of(crval, theta0, lonpole, latpole)
+        out[f"native_to_celestial_{name}"] = _out(sky().stages(rot.to_sky("phi", "theta", "ra", "de")), 5, ra="ra", dec="de")
+        out[f"celestial_to_native_{name}"] = _out(sky().stages(rot.to_native("phi", "theta", "p", "t")), 5, p="p", t="t")
+    pair = Flow("customer").let(lon="(c_custkey * 37 % 3600) / 10.0", lat="(c_custkey * 13 % 1780) / 10.0 - 89")
+    out["great_circle"] = pair.stages(celestial.separation("lon", "lat", "lon + 1.5", "lat * 0.5", "d")).select(c_custkey="c_custkey", d=clean("d"))
+    agg, end = celestial.centroid("lon", "lat")
+    out["centroid"] = pair.where("lon < 60 and lat > 10").agg(["c_nationkey"], **agg).let(**end).select(c_nationkey="c_nationkey", lon=clean("lon", 5), lat=clean("lat", 5))
+    out["wrap_angles"] = Flow("customer").let(a="c_acctbal * 3").select(c_custkey="c_custkey", w360=clean(wrap360("a"), 4), w180=clean(wrap180("a"), 4))
+    return out
+
+
+def spectra() -> dict[str, Flow]:
+    out = {}
+    base = Flow("part").let(nu="1.4e9 + p_retailprice * 1e4", v="(p_retailprice - 1500) * 100", lam="4e-7 + p_size * 1e-8", k="p_size")
+    rest = {"rest_freq": 1.42040575e9}
+    sel = lambda f, e, d: f.select(p_partkey="p_partkey", s=clean(e, d))
+    scale = {"ENER": (1e24, 9), "WAVN": (1.0, 9), "WAVE": (1.0, 9), "AWAV": (1.0, 9), "VRAD": (1.0, 4), "VOPT": (1.0, 4), "ZOPT": (1.0, 10), "VELO": (1.0, 4), "BETA": (1.0, 10)}
+    for kind, (k, d) in scale.items():
+        out[f"freq_to_{kind.lower()}"] = sel(base, f"({sp.from_freq(kind, 'nu', **rest)}) * {num(k)}", d)
+        value = {"ENER": "nu * 6.62607015e-34", "WAVN": "nu / 299792458.0", "WAVE": "lam", "AWAV": "lam", "VRAD": "v", "VOPT": "v", "ZOPT": "v / 1e6", "VELO": "v", "BETA": "v / 1e6"}[kind]
+        out[f"{kind.lower()}_to_freq"] = sel(base.let(val=value).stages(sp.to_freq(kind, "val", **rest, out="_f")), "_f / 1e9", 6)
+    axes = {
+        "log_axis": sp.SpectralAxis("WAVE", "LOG", 5e-7), "wave_f2w": sp.SpectralAxis("WAVE", "F2W", 5e-7), "wave_v2w": sp.SpectralAxis("WAVE", "V2W", 5e-7, rest_wave=5e-7), "wave_a2w": sp.SpectralAxis("WAVE", "A2W", 5e-7), "awav_w2a": sp.SpectralAxis("AWAV", "W2A", 5e-7), "awav_f2a": sp.SpectralAxis("AWAV", "F2A", 5e-7), "awav_v2a": sp.SpectralAxis("AWAV", "V2A", 5e-7, rest_wave=5e-7),
+        "wave_gri": sp.SpectralAxis("WAVE", "GRI", 5e-7, grism=sp.Grism(316000.0, 1.0, 13.9)), "wave_grism": sp.SpectralAxis("WAVE", "GRI", 6.7e-7, grism=sp.Grism(450000.0, 1.0, 27.0, 1.765, -1077000.0)), "awav_gra": sp.SpectralAxis("AWAV", "GRA", 5e-7, grism=sp.Grism(316000.0, 1.0, 13.9, epsilon=2.5, theta=1.75)),
+    }
+    for name, axis in axes.items():
+        f = base.let(w="(k - 25) * 1e-9")
+        out[f"{name}_axis" if not name.endswith("axis") else name] = sel(f.stages(axis.forward("w", "s")), "s * 1e9", 6)
+        out[f"{name}_inverse"] = sel(f.stages([*axis.forward("w", "s"), *axis.inverse("s", "w2")]), "w2 * 1e9", 4)
+    freq = {"freq_w2f": sp.SpectralAxis("FREQ", "W2F", 1.4e9), "freq_v2f": sp.SpectralAxis("FREQ", "V2F", 1.4e9, rest_freq=1.42e9), "freq_a2f": sp.SpectralAxis("FREQ", "A2F", 6e14)}
+    for name, axis in freq.items():
+        f = base.let(w="(k - 25) * 1e6" if axis.crval < 1e12 else "(k - 25) * 1e11")
+        out[f"{name}_axis"] = sel(f.stages(axis.forward("w", "s")), f"s / {num(axis.crval)}", 9)
+    velo = {"velo_f2v": sp.SpectralAxis("VELO", "F2V", 1e5, rest_freq=1.42e9), "velo_w2v": sp.SpectralAxis("VELO", "W2V", 1e5, rest_freq=1.42e9), "velo_a2v": sp.SpectralAxis("VELO", "A2V", 1e5, rest_wave=5e-7)}
+    for name, axis in velo.items():
+        out[f"{name}_axis"] = sel(base.let(w="(k - 25) * 2e3").stages(axis.forward("w", "s")), "s", 3)
+    out["air_index"] = sel(base, sp.air_index("lam"), 10)
+    out["air_to_vacuum"] = sel(base, f"({sp.air_to_vacuum('lam')}) * 1e9", 7)
+    out["vac_to_air"] = sel(base, f"({sp.vacuum_to_air('lam')}) * 1e9", 7)
+    return out
+
+
+def times() -> dict[str, Flow]:
+    out = {}
+    dates = Flow("orders").let(iso="concat(substr(cast(o_orderdate as string), 1, 10), 'T', lpad(cast(o_orderkey % 24 as string), 2, '0'), ':', lpad(cast(o_custkey % 60 as string), 2, '0'), ':', lpad(cast(o_orderkey % 61 as string), 2, '0'), '.25')")
+    sel = lambda f, d=7, **c: f.select(o_orderkey="o_orderkey", **{n: clean(e, d) for n, e in c.items()})
+    iso = dates.stages(timescale.iso_to_mjd("iso", "mjd"))
+    out["iso_parse"] = iso.select(o_orderkey="o_orderkey", y="_y", mo="_mo", d="_d", h="_h", mi="_mi", s="_s")
+    out["iso_to_mjd"] = sel(iso, mjd="mjd")
+    odd = "('2024-02-31', '2016-12-31T23:59:60', '1858-11-17', '0000-03-01', '2000-01-01T12:00', '-4713-11-24T12:00:00', 'x', '2023-02-29', '2000-02-29Z')"
+    texts = [t.strip().strip("'") for t in odd.strip("()").split(",")]
+    out["iso_odd_dates"] = Flow("nation").where(f"n_nationkey < {len(texts)}").let(iso="case n_nationkey " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(texts)) + " end").stages(timescale.iso_to_mjd("iso", "mjd")).select(n_nationkey="n_nationkey", iso="iso", mjd=clean("mjd", 6))
+    ymd = Flow("orders").let(y="o_orderkey % 4000 - 1000", mo="o_custkey % 12 + 1", d="o_orderkey % 28 + 1")
+    out["mjd_any_year"] = ymd.stages(timescale.mjd_of_parts("y", "mo", "d", "mjd")).select(o_orderkey="o_orderkey", mjd="mjd")
+    mjd = Flow("orders").let(m="41000 + (o_orderkey % 17000) + o_custkey / 2000.0")
+    out["tai_minus_utc"] = mjd.select(o_orderkey="o_orderkey", s=timescale.tai_minus_utc("m"))
+    for scale in ("UTC", "TAI", "TT", "TDB", "GPS", "TCG", "TCB", "TT(BIPM08)", "UT1"):
+        name = scale.split("(")[0].lower() + ("_realized" if "(" in scale else "")
+        out[f"mjd_to_utc_{name}"] = sel(mjd.stages(timescale.mjd_to_utc("m", scale, "u")), 6, u="u")
+    out["tdb_minus_tt"] = sel(mjd, 9, s=f"{timescale.tdb_minus_tt('m')} * 86400")
+    ep = Flow("orders").let(e="1950 + o_orderkey % 1000 / 10.0")
+    out["jepoch"] = sel(ep, m=timescale.jepoch_to_mjd("e"))
+    out["bepoch"] = sel(ep, m=timescale.bepoch_to_mjd("e"))
+    out["parse_hms"] = Flow("orders").let(t="concat(lpad(cast(o_orderkey % 24 as string), 2, '0'), ':', lpad(cast(o_custkey % 60 as string), 2, '0'), ':', lpad(cast(o_orderkey % 60 as string), 2, '0'), '.5')").select(o_orderkey="o_orderkey", s=timescale.parse_hms("t"))
+    keys = Flow("orders").let(mjd_beg="case when o_orderkey % 3 = 0 then 50000 + o_custkey / 10.0 end", date_beg="case when o_orderkey % 5 <> 0 then 51000e0 end", tstart="o_orderkey % 100", mjdref="case when o_orderkey % 7 = 0 then null else 49000e0 end", mjd_end="case when o_orderkey % 4 <> 0 then 52000e0 end")
+    begin = "coalesce(mjd_beg, date_beg, mjdref + tstart / 86400.0)"
+    out["begin_priority"] = sel(keys, b=begin)
+    out["mid_point"] = sel(keys, m=f"({begin} + mjd_end) / 2")
+    out["mjd_ref_coalesce"] = sel(keys.let(i="case when o_orderkey % 2 = 0 then 51544e0 end", f="0.00074287037037037"), 9, r="coalesce(i + f, mjdref, 51910e0)")
+    out["exposure_in_seconds"] = sel(Flow("orders").let(x="case when o_orderkey % 2 = 0 then o_totalprice end", unit="case when o_orderkey % 4 = 0 then 'h' else 's' end"), 3, e="coalesce(x * case unit when 'h' then 3600 else 1 end, o_totalprice)")
+    leap = Flow("events").let(m="50000 + event_id % 9000")
+    table = None
+    for k, (at, s) in enumerate(timescale.LEAP):
+        nxt = timescale.LEAP[k + 1][0] if k + 1 < len(timescale.LEAP) else 10**9
+        one = Flow("region").where("r_regionkey = 0").select(lo=str(at), hi=str(nxt), leap=str(s))
+        table = one if table is None else table.union(one)
+    out["leap_asof"] = leap.join(table, "m >= lo and m < hi", "left").select(event_id="event_id", m="m", leap="coalesce(leap, 0)")
+    return out
+
+
+def ground() -> dict[str, Flow]:
+    s = Flow("supplier").let(lo="(s_suppkey * 37 % 3600) / 10.0 - 180", la="(s_suppkey * 13 % 1700) / 10.0 - 85", hh="s_acctbal")
+    ecef = s.stages(geodesy.geodetic_to_ecef("lo", "la", "hh"))
+    return {
+        "geodetic_to_ecef": ecef.select(s_suppkey="s_suppkey", x=clean("x", 3), y=clean("y", 3), z=clean("z", 3)),
+        "ecef_to_geodetic": ecef.stages(geodesy.ecef_to_geodetic("x", "y", "z")).select(s_suppkey="s_suppkey", lon=clean("lon", 7), lat=clean("lat", 7), h=clean("h", 2)),
+    }
+
+
+def unit_queries() -> dict[str, Flow]:
+    p = Flow("part").let(v="p_retailprice")
+    sel = lambda e, d=6: p.select(p_partkey="p_partkey", v=clean(e, d))
+    out = {
+        "convert_linear": sel(units.convert("v", "km/s", "m/s")),
+        "convert_flux": sel(units.convert("v", "mJy", "uJy"), 3),
+        "convert_angle": sel(units.convert("v", "arcsec", "rad"), 10),
+        "convert_power": sel(units.convert("v", "Angstrom2", "um2"), 9),
+        "convert_mag_level": sel(units.convert("v / 100", "mag(Jy)", "mag(mJy)")),
+        "convert_db_level": sel(units.convert("v / 100", "dB(W)", "log(mW)"), 8),
+        "delog_magnitude": sel(f"{num(units.ZERO_POINTS['AB'])} * pow(10, v / 100 / -2.5)", 6),
+        "spectral_hz_to_m": sel(units.spectral_equivalence("v", "GHz", "mm"), 8),
+        "spectral_m_to_ev": sel(units.spectral_equivalence("v", "nm", "eV"), 8),
+        "spectral_ev_to_wavenumber": sel(units.spectral_equivalence("v", "eV", "cm-1"), 2),
+        "constants_photon_energy": sel(f"{num(units.CONSTANTS['h'][0] * 1e34)} * v", 6),
+        "comment_unit": Flow("part").let(c="concat('[', case p_size % 3 when 0 then 'km/s' when 1 then 'Jy' else 'deg' end, '] ', p_name)").select(p_partkey="p_partkey", u="regexp_extract(c, '^ *.([a-zA-Z0-9/*^ -]*)]', 1)"),
+    }
+    out["prefix_join"] = Flow("part").let(pre="case p_size % 4 when 0 then 'k' when 1 then 'M' when 2 then 'm' else 'u' end").join(Flow("nation").where("n_nationkey < 4").select(name="case n_nationkey when 0 then 'k' when 1 then 'M' when 2 then 'm' else 'u' end", f="case n_nationkey when 0 then 1e3 when 1 then 1e6 when 2 then 1e-3 else 1e-6 end"), "pre = name").select(p_partkey="p_partkey", v=clean("p_retailprice * f", 6))
+    return out
+
+
+def scalings() -> dict[str, Flow]:
+    raw = Flow("lineitem").let(raw="cast(l_quantity as bigint)")
+    sel = lambda **c: raw.select(**KEYS, **c)
+    txt = Flow("lineitem").let(t="case l_linenumber % 6 when 0 then concat(cast(l_orderkey % 1000 as string), '.5D+02') when 1 then concat('-', cast(l_partkey % 100 as string), '.25') when 2 then '' when 3 then concat(cast(l_orderkey % 977 as string), 'e-3') when 4 then concat('1.5-', cast(l_partkey % 7 as string)) else cast(l_orderkey % 10000 as string) end")
+    return {
+        "scale_linear": sel(v=clean(scaling.physical("raw", 2.0, 100.0))),
+        "blank_to_nan": sel(v=clean(scaling.physical("raw", 2.0, 100.0, 25))),
+        "unsigned16": sel(v=scaling.unsigned("raw - 40", 16)),
+        "unsigned32": sel(v=scaling.unsigned("raw * -1000000", 32)),
+        "unsigned64": sel(v=f"cast({scaling.unsigned('raw * -100000000000', 64)} as double)"),
+        "signed_byte": sel(v=scaling.signed_byte("raw * 5 % 256")),
+        "tnull_int": sel(v=scaling.tnull("raw", 25)),
+        "tscal_tnull": sel(v=clean(scaling.tscal("raw", 0.01, 32768.0, 25))),
+        "physical_f32": sel(v="cast(" + scaling.physical_f32("raw", 0.1, 0.3) + " as double)"),
+        "fortran_real": txt.select(**KEYS, v=clean(scaling.fortran_real("t"), 6)),
+        "implied_decimal": txt.select(**KEYS, v=clean(scaling.fortran_real("t", 3), 6)),
+        "blank_is_zero": txt.where("t = ''").select(**KEYS, v=clean(scaling.fortran_real("t"), 6)),
+        "tnull_text": txt.select(**KEYS, v="case when trim(t) = '' then null else t end"),
+        "bits_unpack": sel(**{f"b{k}": f"cast(floor(raw / {2 ** (7 - k)}.0) as bigint) % 2 = 1" for k in range(8)}),
+        "complex_parts": Flow("lineitem").select(**KEYS, re=clean("l_extendedprice * cos(l_discount)", 4), im=clean("l_extendedprice * sin(l_discount)", 4)),
+        "string_trim": Flow("customer").let(s="concat(c_name, '   ')").select(c_custkey="c_custkey", s="rtrim(s)"),
+    }
+
+
+def statistics() -> dict[str, Flow]:
+    bad = f"case when l_linenumber = 3 then {'cast(' + chr(39) + 'NaN' + chr(39) + ' as double)'} when l_linenumber = 4 then cast('Infinity' as double) else l_extendedprice end"
+    px = Flow("lineitem").let(v=bad)
+    finite = px.where("not isnan(v) and abs(v) < cast('Infinity' as double)")
+    stats = {"n": "count(v)", "lo": "min(v)", "hi": "max(v)", "mean": "round(avg(v), 4)", "std": "round(stddev_pop(v), 4)"}
+    return {
+        "pixel_stats": finite.agg([], **stats),
+        "pixel_stats_by_group": finite.agg(["l_returnflag", "l_linestatus"], **stats),
+        "finite_filter": finite.select(**KEYS, v="v"),
+        "empty_stats": finite.where("v < 0").agg([], n="count(v)", mean="avg(v)"),
+        "group_param_sum_by_name": Flow("lineitem").join(Flow("orders"), "l_orderkey = o_orderkey").let(ptype="case when l_linenumber % 3 = 0 then 'BASELINE' else 'DATE' end").agg(["o_orderkey", "ptype"], total="round(sum(100 + 0.5 * l_quantity), 3)"),
+        "group_param_scale": Flow("lineitem").select(**KEYS, p=clean("10 + 0.25 * l_quantity", 4)),
+        "parameter_names": Flow("orders").agg(["o_orderpriority"], first="min(o_orderkey)"),
+        "expected_tiles": Flow("part").let(a="p_size * 10", b="p_size * 7").select(p_partkey="p_partkey", tiles="cast(ceil(a / 32.0) * ceil(b / 16.0) as bigint)"),
+        "widest_string": Flow("customer").agg(["c_mktsegment"], w="max(length(c_name))"),
+    }
+
+
+def words() -> dict[str, Flow]:
+    w = Flow("orders").let(word="(o_orderkey * 2654435761) % 4294967296", hdu="o_custkey % 7")
+    total = w.agg(["hdu"], s="sum(cast(word as decimal(38,0)))", n="count(*)")
+    parts = w.let(part="o_orderkey % 5").agg(["hdu", "part"], s="sum(cast(word as decimal(38,0)))")
+    data = w.agg(["hdu"], s="sum(cast(word as decimal(38,0)))").let(d=fold("s"))
+    return {
+        "word_sum_fold": total.select(hdu="hdu", n="n", checksum=fold("s")),
+        "partial_combine": parts.let(f=f"cast({fold('s')} as decimal(38,0))").agg(["hdu"], s2="sum(f)").select(hdu="hdu", checksum=fold("s2")),
+        "verify_flag": data.let(card="case when hdu = 3 then null when hdu = 5 then d + 1 else d end").select(hdu="hdu", ok="card = d"),
+        "complement_is_all_ones": data.let(comp="4294967295 - d").select(hdu="hdu", ok="d + comp = 4294967295"),
+    }
+
+
+def boxes() -> dict[str, Flow]:
+    img = Flow("lineitem").let(idx="l_orderkey % 1000 + 1000 * (l_partkey % 500)")
+    return {
+        "box_filter": pixels().where("px >= 100 and px < 200 and py >= 50 and py < 300").select(**KEYS, px="px", py="py", v="l_extendedprice"),
+        "row_range": Flow("part").where("p_partkey >= 100 and p_partkey < 150").select(p_partkey="p_partkey", p_name="p_name"),
+        "nd_index": img.select(**KEYS, x="idx % 1000", y="cast(floor(idx / 1000.0) as bigint)"),
+        "pad_to_block": Flow("part").let(n="p_size * 1000").select(p_partkey="p_partkey", padded="cast(ceil(n / 2880.0) * 2880 as bigint)"),
+        "data_size": Flow("part").let(bitpix="case p_size % 3 when 0 then -64 when 1 then 16 else 32 end").select(p_partkey="p_partkey", bytes="abs(bitpix) / 8 * (p_size * 1 * p_size)"),
+        "gray_corners": Flow("nation").where("n_nationkey < 8").select(n_nationkey="n_nationkey", gray="n_nationkey + floor(n_nationkey / 2.0) - 2 * ((n_nationkey % 2) * (cast(floor(n_nationkey / 2.0) as bigint) % 2) + 2 * ((cast(floor(n_nationkey / 2.0) as bigint) % 2) * (cast(floor(n_nationkey / 4.0) as bigint) % 2)))"),
+        "tile_scatter": img.select(**KEYS, tile="cast(floor((idx % 1000) / 32.0) + 32 * floor(floor(idx / 1000.0) / 16.0) as bigint)", inside="(idx % 1000) % 32 + 32 * (cast(floor(idx / 1000.0) as bigint) % 16)"),
+        "coalesce_payload": Flow("lineitem").let(a="case when l_linenumber % 2 = 0 then l_tax end", b="case when l_linenumber % 3 = 0 then l_discount end").select(**KEYS, payload="coalesce(a, b, l_quantity)"),
+        "unquantize": Flow("lineitem").let(q="cast(l_quantity as bigint)", r="(l_orderkey % 9973) / 9973.0").select(**KEYS, v=clean("(q - r + 0.5) * 0.125 + 7", 6)),
+        "ascii_render": Flow("part").select(p_partkey="p_partkey", cell="lpad(cast(p_size as string), 8, ' ')"),
+    }
+
+
+def differences() -> dict[str, Flow]:
+    a = Flow("orders").select(k="o_orderkey", a="o_totalprice")
+    b = Flow("orders").where("o_orderkey % 97 <> 0").select(k2="o_orderkey", b="case when o_orderkey % 11 = 0 then o_totalprice + 0.5 when o_orderkey % 13 = 0 then o_totalprice * 1.0000001 else o_totalprice end")
+    close = "abs(a - b) <= 1e-8 + 1e-6 * abs(b)"
+    from_b = Flow("orders").where("o_orderkey % 5 <> 0").select(k2="o_orderkey", b="o_totalprice")
+    numbered = a.join(b, "k = k2").where(f"not ({close})")
+    nan = "cast('NaN' as double)"
+    cells = Flow("lineitem").let(x=f"case when l_linenumber = 1 then {nan} else l_tax end", y=f"case when l_linenumber = 1 or l_linenumber = 2 then {nan} else l_tax * (1 + l_discount / 1000) end")
+    return {
+        "keyword_full_outer": a.where("k % 3 <> 0").join(from_b, "k = k2", "full_outer").where("k is null or k2 is null").select(k="coalesce(k, k2)", side="case when k is null then 'b' else 'a' end"),
+        "tolerance_diff": numbered.select(k="k", a="a", b="b"),
+        "first_n_with_total": numbered.let(total="count(*) over ()", nth="row_number() over (order by k)").where("nth <= 10").select(k="k", a="a", b="b", total="total"),
+        "only_in_a": a.join(b.select(k2="k2"), "k = k2", "anti"),
+        "only_in_b": b.join(a.where("k % 89 <> 0").select(k="k"), "k = k2", "anti"),
+        "isclose_nan": cells.select(**KEYS, same="(isnan(x) and isnan(y)) or (not isnan(x) and not isnan(y) and abs(x - y) <= 1e-9 + 1e-5 * abs(y))"),
+        "inherit_anti_union": Flow("nation").where("n_nationkey < 12").select(k="n_name", v="n_nationkey").union(Flow("nation").where("n_nationkey >= 6").select(kp="n_name", v="n_nationkey * 100").join(Flow("nation").where("n_nationkey < 12").select(k="n_name"), "kp = k", "anti")),
+        "extname_first": Flow("part").agg(["p_brand"], first="min(p_partkey)"),
+        "ignore_keywords": Flow("nation").where("upper(n_name) not in ('CHINA', 'FRANCE', 'NATION_3')").select(k="n_name", v="n_regionkey"),
+        "hdu_pairing": Flow("supplier").select(i="s_suppkey", ka="s_name").join(Flow("supplier").where("s_suppkey <= 80").select(j="s_suppkey", kb="s_name"), "i = j").select(i="i", same="ka = kb"),
+    }
+
+
+def cards() -> dict[str, Flow]:
+    made = Flow("customer").let(card="rpad(case c_custkey % 7 when 0 then concat('OBJECT  = ''', replace(c_name, '#', ''''''), '  '' / name / of it') when 1 then concat('EXPTIME = ', lpad(cast(c_acctbal as string), 20, ' '), ' / [s] exposure') when 2 then 'SIMPLE  =                    T / standard' when 3 then concat('NAXIS1  = ', lpad(cast(c_custkey as string), 20, ' ')) when 4 then concat('HISTORY made for ', c_name) when 5 then 'CRVAL1  =            1.5D+02 / degrees' else concat('HIERARCH ESO DET ID = ', cast(c_custkey as string), ' / id') end, 80, ' ')")
+    field = r"^ *(''((?:[^'']|'''')*)''|[^/]*)(?:/(.*))?$"
+    parsed = made.let(kw="case when card like 'HIERARCH %' then trim(regexp_extract(card, '^HIERARCH ([^=]*)=', 1)) else rtrim(substr(card, 1, 8)) end", body="case when card like 'HIERARCH %' then regexp_extract(card, '^HIERARCH [^=]*=(.*)$', 1) when substr(card, 9, 2) = '= ' then substr(card, 11) end")
+    split = parsed.let(txt=f"regexp_extract(body, '{field}', 2)", plain=f"trim(regexp_extract(body, '{field}', 1))", note=f"trim(regexp_extract(body, '{field}', 3))")
+    value = split.let(kind="case when body is null then 'commentary' when plain like '''%' then 'string' when plain in ('T', 'F') then 'logical' when plain = '' then 'undefined' when regexp_extract(plain, '^[+-]?[0-9]+$', 0) <> '' then 'integer' else 'real' end")
+    long_ = Flow("nation").let(grp="n_regionkey", pos="n_nationkey", part="concat(n_name, case when n_nationkey < 20 then '&' else '' end)")
+    return {
+        "card_keyword": parsed.select(c_custkey="c_custkey", kw="kw", has_value="body is not null"),
+        "comment_split": split.where("body is not null").select(c_custkey="c_custkey", note="note", plain="plain"),
+        "value_kind": value.select(c_custkey="c_custkey", kind="kind"),
+        "value_real": value.where("kind in ('real', 'integer')").select(c_custkey="c_custkey", v=clean("cast(translate(plain, 'Dd', 'Ee') as double)", 6)),
+        "value_string": value.where("kind = 'string'").select(c_custkey="c_custkey", v="rtrim(replace(txt, '''''', ''''))"),
+        "hierarch": parsed.where("card like 'HIERARCH %'").select(c_custkey="c_custkey", kw="kw"),
+        "continue_merge": long_.let(piece="replace(part, '&', '')").agg(["grp"], n="count(*)", total="sum(length(piece))", first="min(pos)"),
+        "first_keyword": value.agg(["kw"], first="min(c_custkey)"),
+        "dash_underscore_fallback": Flow("part").let(mjd_dash="case when p_size % 3 = 0 then 1e0 * p_size end", mjd_under="case when p_size % 2 = 0 then 2e0 * p_size end").select(p_partkey="p_partkey", mjd="coalesce(mjd_dash, mjd_under)"),
+        "validate_rules": value.where("kind = 'string' and kw = 'EXPTIME' or kw = 'NAXIS1' and c_custkey < 50 or kw = 'OBJECT' and length(txt) > 18").select(c_custkey="c_custkey", kw="kw", level="case kw when 'NAXIS1' then 'error' else 'warning' end"),
+        "fix_old_dates": Flow("orders").let(d="concat(lpad(cast(o_orderkey % 28 + 1 as string), 2, '0'), '/', lpad(cast(o_custkey % 12 + 1 as string), 2, '0'), '/', lpad(cast(o_orderkey % 100 as string), 2, '0'))").let(yy="cast(substr(d, 7, 2) as bigint)").select(o_orderkey="o_orderkey", iso="concat(cast(case when yy >= 70 then 1900 + yy else 2000 + yy end as string), '-', substr(d, 4, 2), '-', substr(d, 1, 2))"),
+        "rename_keywords": Flow("nation").let(kw="case n_nationkey % 3 when 0 then 'EPOCH' when 1 then 'RADECSYS' else n_name end").select(n_nationkey="n_nationkey", kw="case kw when 'EPOCH' then 'EQUINOX' when 'RADECSYS' then 'RADESYS' else kw end"),
+        "keyword_substring": parsed.where("upper(kw) like '%AXIS%'").select(c_custkey="c_custkey", kw="kw"),
+        "reserved_pivot": value.agg([], naxis1="max(case when kw = 'NAXIS1' then cast(plain as double) end)", simple="max(case when kw = 'SIMPLE' then plain end)"),
+    }
+
+
+def lookups() -> dict[str, Flow]:
+    knots = [0.0, 3.0, 7.0, 12.0, 20.0, 31.0, 50.0]
+    vals = [100.0, 130.0, 135.0, 150.0, 152.0, 190.0, 300.0]
+    p = Flow("part").let(psi="p_size + 0.3")
+    table = None
+    for k in range(len(knots) - 1):
+        one = Flow("region").where("r_regionkey = 0").select(lo=num(knots[k]), hi=num(knots[k + 1]), v0=num(vals[k]), v1=num(vals[k + 1]))
+        table = one if table is None else table.union(one)
+    w = Wcs(("WAVE-TAB",), (1.0,), (0.0,), ((1.0,),), tab={0: Tab(tuple(knots), tuple(vals))})
+    return {
+        "tab_forward": p.stages(tabular.forward_1d("psi", knots, vals, "v")).select(p_partkey="p_partkey", v=clean("v")),
+        "tab_index_inverse": p.let(world="100 + p_size * 3.7").stages(tabular.inverse_1d("world", knots, vals, "psi2")).select(p_partkey="p_partkey", psi=clean("psi2")),
+        "tab_interval_join": p.join(table, "psi >= lo and psi < hi", "left").select(p_partkey="p_partkey", v=clean("v0 + (psi - lo) / (hi - lo) * (v1 - v0)")),
+        "tab_axis_pix2world": p.stages(w.forward(["psi"], ["v"])).select(p_partkey="p_partkey", v=clean("v")),
+        "monotone_check": Flow("part").let(prev="lag(p_retailprice) over (order by p_partkey)").agg([], down="sum(case when p_retailprice < prev then 1 else 0 end)").select(rising="down = 0"),
+        "polynomial": p.select(p_partkey="p_partkey", y=clean(horner("psi / 50", [1.0, -2.0, 0.5, 3.0]))),
+    }
+
+
+def fits_() -> dict[str, Flow]:
+    pts = Flow("customer").let(x="c_custkey % 100 - 50", y="c_custkey * 7 % 100 - 50").let(xi="0.5 * x - 0.1 * y + 3 + 0.001 * (c_custkey % 10)", eta="0.2 * x + 0.4 * y - 1")
+    sums = pts.agg([], n="count(*)", sx="sum(x)", sy="sum(y)", sxx="sum(x * x)", sxy="sum(x * y)", syy="sum(y * y)", sa="sum(xi)", sxa="sum(x * xi)", sya="sum(y * xi)", sb="sum(eta)", sxb="sum(x * eta)", syb="sum(y * eta)")
+    cen = sums.let(cxx="sxx - sx * sx / (1.0 * n)", cxy="sxy - sx * sy / (1.0 * n)", cyy="syy - sy * sy / (1.0 * n)", cxa="sxa - sx * sa / n", cya="sya - sy * sa / n", cxb="sxb - sx * sb / n", cyb="syb - sy * sb / n").let(det="cxx * cyy - cxy * cxy")
+    return {
+        "fit_cd": cen.select(cd11=clean("(cxa * cyy - cya * cxy) / det", 8), cd12=clean("(cya * cxx - cxa * cxy) / det", 8), cd21=clean("(cxb * cyy - cyb * cxy) / det", 8), cd22=clean("(cyb * cxx - cxb * cxy) / det", 8)),
+        "residual_rms": pts.let(r="sqrt(pow(xi - (0.5 * x - 0.1 * y + 3), 2) + pow(eta - (0.2 * x + 0.4 * y - 1), 2)) * 3600").agg([], rms="round(sqrt(avg(r * r)), 6)", worst="round(max(r), 6)"),
+    }
+
+
+def flows() -> dict[str, Flow]:
+    out: dict[str, Flow] = {}
+    for part in (pipelines, linear, projections, rotations, spectra, times, ground, unit_queries, scalings, statistics, words, boxes, differences, cards, lookups, fits_):
+        out |= part()
+    return out
+
+
+_FLOWS: dict[str, Flow] = {}
+
+
+def _all() -> dict[str, Flow]:
+    if not _FLOWS:
+        _FLOWS.update(flows())
+    return _FLOWS
+
 
 def queries() -> dict:
-    return {}
+    return {n: f.frame for n, f in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: f.sql() for n, f in _all().items()}
