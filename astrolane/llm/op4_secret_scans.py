@@ -154,19 +154,19 @@ def scan(docs: DataFrame, q: float = 0.01, text_col: str = "text") -> DataFrame:
     out = out.withColumn("more", F.expr(f"filter(more, x -> x.token rlike '[0-9]' and x.token rlike '[A-Za-z]' and {least} < {BINS} and not exists(base, y -> y.start < x.end and x.start < y.end))"))
     held = ["token"]  # the battery, step by step, in structs: SQL has no let
     out = out.withColumn("s", F.expr("transform(more, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token))"))
-    for name, sql in randomness("x.token"):
+    for name, sql in randomness("tok.token"):
         body = sql
-        for h in sorted(held, key=len, reverse=True):
+        for h in held:
             body = _qualify(body, h)
-        out = out.withColumn("s", F.expr(f"transform(s, x -> named_struct({', '.join(f'{chr(39)}{h}{chr(39)}, x.{h}' for h in ['start', 'end', *held])}, '{name}', {body}))"))
+        out = out.withColumn("s", F.expr(f"transform(s, tok -> named_struct({', '.join(f'{chr(39)}{h}{chr(39)}, tok.{h}' for h in ['start', 'end', *held])}, '{name}', {body}))"))
         held.append(name)
     added = f"transform(filter(s, x -> cast(least({BINS - 1}, floor(x.p * {BINS})) as int) >= {least}), x -> named_struct('start', x.start, 'kind', {_kind('random')}, 'end', x.end))"
     return out.select("row", "base", F.expr(f"array_sort(concat(base, {added}))").alias("found"))
 
 
 def _qualify(sql: str, name: str) -> str:
-    """SQL with a bare column name read from the struct x."""
-    return re.sub(rf"(?<![\w.']){name}(?![\w'(])", f"x.{name}", sql)
+    """SQL with a bare column name read from the struct tok."""
+    return re.sub(rf"(?<![\w.']){name}(?![\w'(])", f"tok.{name}", sql)
 
 
 def as_text(spans: str) -> Column:
