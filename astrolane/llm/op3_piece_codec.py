@@ -20,7 +20,7 @@ import binascii
 import itertools
 import pickle
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -196,6 +196,93 @@ def encode_chunks(coder: ChunkCoder, text: str, chunk: int) -> list[bytes]:
     return [coder.trace(marked, a, b, s, t) for (a, b), (s, t) in zip(pairs, itertools.pairwise(states), strict=True)]
 
 
+Batches = Iterator[pa.RecordBatch]
+#: What encode gives, behind the id.
+ENCODED = "text_key long, chunk int, chunks int, ids array<int>"
+
+
+class Encoder:
+    """The two ways of a frame's texts: short ones in one pass, giant ones by chunks, scan and traces.
+
+    Each returns id, text_key, chunk, chunks and ids; ``then`` is a function of
+    those batches that runs in the same Python process, with the schema it makes.
+    """
+
+    def __init__(self, docs: DataFrame, path: str, chunk: int, id_col: str, text_col: str, scratch: Scratch):
+        self.path, self.chunk, self.id_col, self.scratch = path, chunk, id_col, scratch
+        self.frame = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+        self.id_field = f"`{id_col}` {self.frame.schema['_id'].dataType.simpleString()}"
+        self.giant = F.char_length("_text") >= chunk
+
+    def short(self, then: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
+        path, id_col = self.path, self.id_col
+
+        def run(batches: Batches) -> Batches:
+            coder, at = _coder(path), TaskContext.get().partitionId() << 40
+            for b in batches:
+                for low in range(0, b.num_rows, 500):
+                    part = b.slice(low, 500)
+                    flat = [coder.words(MARK + t.replace(" ", MARK)) if t else b"" for t in part.column("_text").to_pylist()]
+                    n = len(flat)
+                    ends = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype="<u4").astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(range(at, at + n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), ids], names=[id_col, "text_key", "chunk", "chunks", "ids"])
+                    at += n
+
+        fused = (lambda batches: then(run(batches))) if then else run
+        return self.frame.filter(~self.giant).mapInArrow(fused, schema or f"{self.id_field}, {ENCODED}")
+
+    def giants(self, then: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
+        path, id_col, chunk = self.path, self.id_col, self.chunk
+
+        def cut(batches: Batches) -> Batches:
+            """Chunks with what surrounds them, and their matrices."""
+            coder, at = _coder(path), (TaskContext.get().partitionId() << 40) | 1 << 39
+            far = coder.pieces.longest + 1
+            for b in batches:
+                for i, text in enumerate(b.column("_text").to_pylist()):
+                    marked = MARK + text.replace(" ", MARK)
+                    edges = cuts(marked, chunk, coder)
+                    n = len(edges) - 1
+                    for first in range(0, n, 64):
+                        rows = []
+                        for k in range(first, min(n, first + 64)):
+                            a, e = edges[k], edges[k + 1]
+                            low = max(0, a - far)
+                            part, left, right = marked[low : e + far], a - low, e - low
+                            m = {MEET: {MEET: 0}} if _all_meet(coder, part, left, right, k, n) else coder.matrix(part, left, right, k == n - 1)
+                            rows.append((k, part, left, right, pickle.dumps(m)))
+                        cols = list(zip(*rows, strict=True))
+                        yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array([i] * len(rows))), pa.array([at] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array([n] * len(rows), pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=[id_col, "text_key", "chunk", "chunks", "part", "left", "right", "matrix"])
+                    at += 1
+
+        def solve(batches: Batches) -> Batches:
+            """The matrices of whole texts, in order -> the states around each chunk."""
+            for key, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["text_key"]):
+                states = scan([pickle.loads(r["matrix"]) for r in rows])
+                n = len(states) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([pickle.dumps(x) for x in itertools.pairwise(states)], pa.binary())], names=["text_key", "chunk", "states"])
+
+        def trace(batches: Batches) -> Batches:
+            coder = _coder(path)
+            for b in batches:
+                ids = []
+                for part, left, right, states, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "left", "right", "states", "chunk", "chunks")), strict=True):
+                    enter, leave = pickle.loads(states)
+                    if _all_meet(coder, part, left, right, k, n):
+                        made = coder.words(part[left:right])
+                    else:
+                        made = coder.trace(part, left, right, enter, leave)
+                    ids.append(np.frombuffer(made, dtype="<u4").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, "text_key", "chunk", "chunks")), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text_key", "chunk", "chunks", "ids"])
+
+        parts = self.scratch.write(self.frame.filter(self.giant).mapInArrow(cut, f"{self.id_field}, text_key long, chunk int, chunks int, part string, `left` int, `right` int, matrix binary"), "chunks")
+        solved = parts.select("text_key", "chunk", "matrix").repartition("text_key").sortWithinPartitions("text_key", "chunk").mapInArrow(solve, "text_key long, chunk int, states binary")
+        states = self.scratch.write(solved, "states")
+        fused = (lambda batches: then(trace(batches))) if then else trace
+        return parts.drop("matrix").join(states, ["text_key", "chunk"]).mapInArrow(fused, schema or f"{self.id_field}, {ENCODED}")
+
+
 def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Token ids of each text, a row for each chunk: id, text_key, chunk, chunks, ids (array of int).
 
@@ -205,71 +292,14 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     text of any length is encoded whole; other columns of any name are ignored.
     chunk: characters of a chunk, 64 or more.
     """
+    e = encoder(docs, model_path, chunk, id_col, text_col, scratch)
+    return e.short().unionByName(e.giants())
+
+
+def encoder(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> Encoder:
     if chunk < 64:
         raise ValueError("chunk must be 64 or more")
-    path = model_path or public_tokenizers.path(MODEL)
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "pieces")
-    frame = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    kind = frame.schema["_id"].dataType.simpleString()
-    giant = F.char_length("_text") >= chunk
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, at = _coder(path), TaskContext.get().partitionId() << 40
-        for b in batches:
-            flat = [coder.words(MARK + t.replace(" ", MARK)) if t else b"" for t in b.column("_text").to_pylist()]
-            n = len(flat)
-            ends = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), dtype="<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(range(at, at + n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), ids], names=[id_col, "text_key", "chunk", "chunks", "ids"])
-            at += n
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks with what surrounds them, and their matrices."""
-        coder, at = _coder(path), (TaskContext.get().partitionId() << 40) | 1 << 39
-        far = coder.pieces.longest + 1
-        for b in batches:
-            for i, text in enumerate(b.column("_text").to_pylist()):
-                marked = MARK + text.replace(" ", MARK)
-                edges = cuts(marked, chunk, coder)
-                n = len(edges) - 1
-                for first in range(0, n, 64):
-                    rows = []
-                    for k in range(first, min(n, first + 64)):
-                        a, e = edges[k], edges[k + 1]
-                        low = max(0, a - far)
-                        part, left, right = marked[low : e + far], a - low, e - low
-                        m = {MEET: {MEET: 0}} if _all_meet(coder, part, left, right, k, n) else coder.matrix(part, left, right, k == n - 1)
-                        rows.append((k, part, left, right, pickle.dumps(m)))
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array([i] * len(rows))), pa.array([at] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array([n] * len(rows), pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=[id_col, "text_key", "chunk", "chunks", "part", "left", "right", "matrix"])
-                at += 1
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The matrices of whole texts, in order -> the states around each chunk."""
-        for key, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["text_key"]):
-            states = scan([pickle.loads(r["matrix"]) for r in rows])
-            n = len(states) - 1
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([pickle.dumps(x) for x in itertools.pairwise(states)], pa.binary())], names=["text_key", "chunk", "states"])
-
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path)
-        for b in batches:
-            ids = []
-            for part, left, right, states, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "left", "right", "states", "chunk", "chunks")), strict=True):
-                enter, leave = pickle.loads(states)
-                if _all_meet(coder, part, left, right, k, n):
-                    made = coder.words(part[left:right])
-                else:
-                    made = coder.trace(part, left, right, enter, leave)
-                ids.append(np.frombuffer(made, dtype="<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, "text_key", "chunk", "chunks")), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text_key", "chunk", "chunks", "ids"])
-
-    out = f"`{id_col}` {kind}, text_key long, chunk int, chunks int, ids array<int>"
-    whole = frame.filter(~giant).mapInArrow(short, out)
-    parts = scratch.write(frame.filter(giant).mapInArrow(cut, f"`{id_col}` {kind}, text_key long, chunk int, chunks int, part string, `left` int, `right` int, matrix binary"), "chunks")
-    states = parts.select("text_key", "chunk", "matrix").repartition("text_key").sortWithinPartitions("text_key", "chunk").mapInArrow(solve, "text_key long, chunk int, states binary")
-    return whole.unionByName(parts.drop("matrix").join(states, ["text_key", "chunk"]).mapInArrow(trace, out))
+    return Encoder(docs, model_path or public_tokenizers.path(MODEL), chunk, id_col, text_col, scratch or Scratch(docs.sparkSession, "pieces"))
 
 
 def _all_meet(coder: ChunkCoder, part: str, left: int, right: int, k: int, n: int) -> bool:
@@ -312,44 +342,52 @@ def piece_table(path: str) -> list:
     return _TABLES[path]
 
 
-def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
-    """Adds the column ``decoded``, the text of a chunk, to what encode returns.
+def decoded(path: str) -> Callable[[Batches], Batches]:
+    """Batches of ids with the column ``decoded``."""
 
-    The text of a document is that of its chunks in order.  Null ids give an empty text.
-    """
-    path = model_path or public_tokenizers.path(MODEL)
-    names = tokens.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         pieces = piece_table(path)
         for b in batches:
             made = []
             for k, ids in zip(b.column("chunk").to_pylist(), b.column("ids"), strict=True):
                 text = decode_ids(pieces, ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else [])
                 made.append(text[1:] if k == 0 and text[:1] == " " else text)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, "decoded"])
+
+    return run
+
+
+def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
+    """Adds the column ``decoded``, the text of a chunk, to what encode returns.
 
-    return tokens.mapInArrow(run, fields + ", decoded string")
+    The text of a document is that of its chunks in order.  Null ids give an empty text.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
+    return tokens.mapInArrow(decoded(model_path or public_tokenizers.path(MODEL)), fields + ", decoded string")
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many chunks and tokens, CRC-32 of the ids (little-endian unsigned 32-bit), and that of the decoded text."""
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    e = encoder(table(spark, sf_dir, "documents"))
+    to_text = decoded(e.path)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def digests(batches: Batches) -> Batches:
+        """Texts of one chunk: their digests."""
+        for b in to_text(batches):
             raw = [ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for ids in b.column("ids")]
             text = [t.encode("utf-8", "surrogatepass") for t in b.column("decoded").to_pylist()]
-            whole = [n == 1 for n in b.column("chunks").to_pylist()]
-            crc = [binascii.crc32(r) if w else None for r, w in zip(raw, whole, strict=True)]
-            crc_text = [binascii.crc32(t) if w else None for t, w in zip(text, whole, strict=True)]
-            keep = [None if w else r for r, w in zip(raw, whole, strict=True)]
-            keep_text = [None if w else t for t, w in zip(text, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "chunk", "chunks")), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([len(t) for t in text], pa.int64()), pa.array(crc, pa.int64()), pa.array(crc_text, pa.int64()), pa.array(keep, pa.binary()), pa.array(keep_text, pa.binary())], names=["doc_id", "text_key", "chunk", "chunks", "n_tokens", "n_bytes", "ids_crc32", "text_crc32", "raw", "raw_text"])
-
-    each = coded.mapInArrow(digest, "doc_id long, text_key long, chunk int, chunks int, n_tokens long, n_bytes long, ids_crc32 long, text_crc32 long, raw binary, raw_text binary")
-    cols = ("doc_id", "chunks", "n_tokens", "n_bytes", "ids_crc32", "text_crc32")
-    joined = lambda c: F.crc32(F.expr(f"aggregate(array_sort(parts), cast('' as binary), (a, x) -> concat(a, x.{c}))"))  # noqa: E731  bounded by one text
-    giants = each.filter("chunks > 1").groupBy("doc_id", "text_key", "chunks").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_bytes").alias("n_bytes"), F.collect_list(F.struct("chunk", "raw", "raw_text")).alias("parts"))
-    return each.filter("chunks = 1").select(*cols).unionByName(giants.withColumns({"ids_crc32": joined("raw"), "text_crc32": joined("raw_text")}).select(*cols))
+            cols = [[len(r) // 4 for r in raw], [len(t) for t in text], [binascii.crc32(r) for r in raw], [binascii.crc32(t) for t in text]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunks"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "chunks", "n_tokens", "n_bytes", "ids_crc32", "text_crc32"])
+
+    def raws(batches: Batches) -> Batches:
+        """Chunks of giant texts: their bytes."""
+        for b in to_text(batches):
+            raw = [ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for ids in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "chunk", "chunks")), pa.array(raw, pa.binary()), b.column("decoded").cast(pa.binary())], names=["doc_id", "text_key", "chunk", "chunks", "raw", "txt"])
+
+    short = e.short(digests, "doc_id long, chunks int, n_tokens long, n_bytes long, ids_crc32 long, text_crc32 long")
+    chunks = e.giants(raws, "doc_id long, text_key long, chunk int, chunks int, raw binary, txt binary")
+    whole = chunks.groupBy("doc_id", "text_key", "chunks").agg(F.array_sort(F.collect_list(F.struct("chunk", "raw", "txt"))).alias("parts"))  # bounded by one text
+    whole = whole.withColumns({c: F.expr(f"aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.{c}))") for c in ("raw", "txt")})
+    giants = whole.select("doc_id", "chunks", (F.octet_length("raw") / 4).cast("long").alias("n_tokens"), F.octet_length("txt").cast("long").alias("n_bytes"), F.crc32("raw").alias("ids_crc32"), F.crc32("txt").alias("text_crc32"))
+    return short.unionByName(giants)

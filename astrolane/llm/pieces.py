@@ -73,7 +73,7 @@ class PieceModel:
             return True
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= 2 * self.cache:
+            if len(self.pairs) >= self.cache:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._stay_apart(a, b)
         return known
@@ -108,7 +108,7 @@ class PieceModel:
         head = text[:HEAD]
         known = self.heads.get(head)
         if known is None:
-            if len(self.heads) >= self.cache:
+            if len(self.heads) >= self.cache // 4:
                 self.heads.clear()
             known = self.heads[head] = self._extend(head, [UNKNOWN] + [None] * HEAD, [0] * (HEAD + 1), 1)
         more = n - HEAD
