@@ -1,8 +1,7 @@
 """-TAB axes: coordinates from lookup arrays, with interpolation.
 
-A table of one dimension is laid down as two literal arrays and searched by a
-higher-order function; a table too long for a literal is joined by intervals, see
-``interval_join``.  Tables of more dimensions are solved by Newton's method over
+A table of one dimension is laid down as literals of a search by cases; a table
+too long for that is joined by intervals, see ``interval_join``.  Tables of more dimensions are solved by Newton's method over
 numpy arrays in ``TabGrid``, one Arrow batch at a time.
 """
 
@@ -23,13 +22,11 @@ def forward_1d(psi: str, index: list[float], values: list[float], out: str) -> S
     k = len(values)
     up = index[-1] >= index[0]
     lo, hi = (index, values) if up else (index[::-1], values[::-1])
-    arr = lambda v: "array(" + ", ".join(num(x) for x in v) + ")"
     if k == 1:
         return [{out: when(f"abs(({psi}) - {num(index[0])}) <= 0.5", num(values[0]))}]
     # the segment: how many inner knots are not above psi
     n = " + ".join(f"case when ({psi}) >= {num(x)} then 1 else 0 end" for x in lo[1:-1]) or "0"
     pick = lambda v: "case _seg " + " ".join(f"when {i} then {num(x)}" for i, x in enumerate(v)) + " end"
-    del arr
     return [
         {"_seg": n},
         {"_i0": pick(lo[:-1]), "_i1": pick(lo[1:]), "_v0": pick(hi[:-1]), "_v1": pick(hi[1:])},

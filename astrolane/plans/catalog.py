@@ -331,7 +331,7 @@ def differences() -> dict[str, Flow]:
 
 def cards() -> dict[str, Flow]:
     made = Flow("customer").let(card="rpad(case c_custkey % 7 when 0 then concat('OBJECT  = ''', replace(c_name, '#', ''''''), '  '' / name / of it') when 1 then concat('EXPTIME = ', lpad(cast(c_acctbal as string), 20, ' '), ' / [s] exposure') when 2 then 'SIMPLE  =                    T / standard' when 3 then concat('NAXIS1  = ', lpad(cast(c_custkey as string), 20, ' ')) when 4 then concat('HISTORY made for ', c_name) when 5 then 'CRVAL1  =            1.5D+02 / degrees' else concat('HIERARCH ESO DET ID = ', cast(c_custkey as string), ' / id') end, 80, ' ')")
-    field = r"^ *(''((?:[^'']|'''')*)''|[^/]*)(?:/(.*))?$"
+    field = r"^ *(''((?:[^'']|'''')*)'' *|[^''/][^/]*|)(?:/(.*))?$"
     parsed = made.let(kw="case when card like 'HIERARCH %' then trim(regexp_extract(card, '^HIERARCH ([^=]*)=', 1)) else rtrim(substr(card, 1, 8)) end", body="case when card like 'HIERARCH %' then regexp_extract(card, '^HIERARCH [^=]*=(.*)$', 1) when substr(card, 9, 2) = '= ' then substr(card, 11) end")
     split = parsed.let(txt=f"regexp_extract(body, '{field}', 2)", plain=f"trim(regexp_extract(body, '{field}', 1))", note=f"trim(regexp_extract(body, '{field}', 3))")
     value = split.let(kind="case when body is null then 'commentary' when plain like '''%' then 'string' when plain in ('T', 'F') then 'logical' when plain = '' then 'undefined' when regexp_extract(plain, '^[+-]?[0-9]+$', 0) <> '' then 'integer' else 'real' end")

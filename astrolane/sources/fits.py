@@ -309,7 +309,7 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, extname: str
     """df as one table file; text columns get the width of their longest text."""
     register(df.sparkSession)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    w = df.writeTo if False else df.write.format("fits").mode("overwrite" if overwrite else "append")
+    w = df.write.format("fits").mode("overwrite" if overwrite else "append")
     if texts:
         widths = df.agg(*(F.coalesce(F.max(F.octet_length(t)), F.lit(1)).alias(t) for t in texts)).first()
         for t in texts:
