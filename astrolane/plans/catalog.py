@@ -55,10 +55,10 @@ def pipelines() -> dict[str, Flow]:
     out["tpv_inverse"] = _out(fwd(tpv).stages(tpv.inverse(["w1", "w2"], ["x", "y"])).let(err="abs(x - px) + abs(y - py)"), 0, same="case when err < 1e-6 then 1e0 else 0e0 end", off="0e0 * err")
     plane = pixels().let(x="(px - 500) / 100", y="(py - 500) / 100")
     tnx = Tnx(tnx_l, tnx_b)
-    out["tnx_surface"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")), 9, tx="tx", ty="ty")
-    out["tnx_inverse"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")).stages(tnx.inverse("tx", "ty", "bx", "by_")), 8, bx="bx", by_="by_")
-    out["sip_polynomial"] = _out(pixels().stages(Sip({(2, 0): 1.2e-6, (1, 1): 3e-7}, {(0, 2): 9e-7, (3, 0): 1e-9}).forward("(px - 500)", "(py - 500)", "u", "v")), 8, u="u", v="v")
-    out["tpv_polynomial"] = _out(plane.stages(Tpv({1: 1.0, 4: 1e-3, 11: 1e-4, 39: 1e-8}, {1: 1.0, 5: 2e-3, 3: 1e-3, 23: 1e-6}).forward("x", "y", "tx", "ty")), 8, tx="tx", ty="ty")
+    out["tnx_surface"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")), 6, tx="tx", ty="ty")
+    out["tnx_inverse"] = _out(plane.stages(tnx.forward("x", "y", "tx", "ty")).stages(tnx.inverse("tx", "ty", "bx", "by_")), 6, bx="bx", by_="by_")
+    out["sip_polynomial"] = _out(pixels().stages(Sip({(2, 0): 1.2e-6, (1, 1): 3e-7}, {(0, 2): 9e-7, (3, 0): 1e-9}).forward("(px - 500)", "(py - 500)", "u", "v")), 6, u="u", v="v")
+    out["tpv_polynomial"] = _out(plane.stages(Tpv({1: 1.0, 4: 1e-3, 11: 1e-4, 39: 1e-8}, {1: 1.0, 5: 2e-3, 3: 1e-3, 23: 1e-6}).forward("x", "y", "tx", "ty")), 6, tx="tx", ty="ty")
     dss = Dss(187.5, 12.0, 177500.0, 177500.0, 25.28445, 25.28445, 6500.0, 6500.0, (67.2, 0.06, -30.0, 1e-5, -1e-5, 2e-6, 0.0, 2e-6, 1e-7, 2e-6, 1e-7, 0.0, 0.0), (67.2, -0.06, 20.0, 2e-5, 1e-5, -1e-5, 0.0, 2e-6, 1e-7, 2e-6, 1e-7, 0.0, 0.0))
     out["dss_pix2world"] = _out(pixels().stages(dss.forward("px + 1", "py + 1", "ra", "de")), ra="ra", dec="de")
     out["dss_world2pix"] = _out(pixels().stages([*dss.forward("px + 1", "py + 1", "ra", "de"), *dss.inverse("ra", "de", "x", "y")]), 5, x="x", y="y")
