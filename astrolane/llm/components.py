@@ -16,6 +16,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     plan nor the lineage grows.  Minima are combined before they are shuffled, and
     a node of very many edges meets its label in a join that can be split.
     """
+    # one star step first: a node's neighbours below it all meet the least of them
+    low = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = low.groupBy("a").agg(F.min("b").alias("b"))
+    root = least.select(F.col("a").alias("c"), F.col("b").alias("m"))
+    edges = least.union(low.join(root, low["a"] == root["c"]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
     both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
     labels = scratch.write(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), f"{name}-0")
     for k in range(1, 64):
