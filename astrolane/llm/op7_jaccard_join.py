@@ -217,6 +217,19 @@ def tree_join(sets: list[np.ndarray], sides: list[int], hub: list[bool], rule: S
         joined.join(known[0], i)
     a = build_tree(left, bits, sizes, spare)
     b = build_tree(right, bits, sizes, spare) if right else a
+    # elements of the other side, sorted, with their sets: one search gives a set's exact overlap with all of them
+    other = right or left
+    flat, owner = np.concatenate([sets[j] for j in other]), np.repeat(np.array(other), sizes[other])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    shared: dict[int, np.ndarray] = {}
+
+    def shared_with(i: int) -> np.ndarray:
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(sets))
+
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
@@ -235,8 +248,9 @@ def tree_join(sets: list[np.ndarray], sides: list[int], hub: list[bool], rule: S
             for j in y.members:
                 if joined.find(i) == joined.find(j) or x is y and j <= i:
                     continue
-                shared = min(int(np.bitwise_count(bits[i] & bits[j]).sum()) + int(min(spare[i], spare[j])), int(sizes[i]), int(sizes[j]))
-                if rule.linked(int(sizes[i]), int(sizes[j]), shared) and rule.linked(int(sizes[i]), int(sizes[j]), overlap(sets[i], sets[j])):
+                if i not in shared:
+                    shared[i] = shared_with(i)
+                if rule.linked(int(sizes[i]), int(sizes[j]), int(shared[i][j])):
                     joined.join(i, j)
                     links.append((i, j))
     return links
@@ -355,6 +369,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), b.column("n"), b.column("hub_rep"), pa.array(ok, pa.bool_())], names=["cluster", "rep", "n", "hub_rep", "linked"])
 
     hubs = texts.groupBy("cluster").agg(F.min(F.struct("rep", "text")).alias("h")).select(F.col("cluster").alias("hub_cluster"), F.col("h.rep").alias("hub_rep"), F.col("h.text").alias("hub_text"))
+    hubs = scratch.write(hubs, "hubs")  # a table of its own, so that the join below can split a large cluster
     met = texts.join(hubs, texts["cluster"] == hubs["hub_cluster"]).select("cluster", "rep", "n", "text", "hub_rep", "hub_text")
     star = scratch.write(met.mapInArrow(against_hub, "cluster long, rep long, n long, hub_rep long, linked boolean"), "star")
 
