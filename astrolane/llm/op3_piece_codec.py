@@ -19,6 +19,7 @@ from __future__ import annotations
 import binascii
 import itertools
 import pickle
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -307,36 +308,27 @@ def _all_meet(coder: ChunkCoder, part: str, left: int, right: int, k: int, n: in
     return (k == 0 or coder.starts(part, left)) and (k == n - 1 or coder.starts(part, right))
 
 
-def decode_ids(table_: list[str | int], ids: list[int]) -> str:
+_BYTES = re.compile("[\udc80-\udcff]")
+
+
+def decode_ids(table_: list[str], ids: list[int]) -> str:
     """Text of token ids; bytes of one character are put together; marks become spaces."""
-    parts = [table_[i] for i in ids]
-    if not any(type(p) is int for p in parts):
-        return "".join(parts)
-    out, run = [], bytearray()
-    for p in parts:
-        if type(p) is int:
-            run.append(p)
-        else:
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(p)
-    out.append(run.decode("utf-8", "replace"))
-    return "".join(out)
+    text = "".join(map(table_.__getitem__, ids))
+    return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if _BYTES.search(text) else text
 
 
 _TABLES: dict[str, list] = {}
 
 
-def piece_table(path: str) -> list:
-    """What each id stands for: text, or the value of a byte; control ids are nothing."""
+def piece_table(path: str) -> list[str]:
+    """What each id stands for: text, or a byte, those from 128 on as escapes; control ids are nothing."""
     if path not in _TABLES:
         m = model(path)
-        table_: list = [""] * m.lib.get_piece_size()
+        table_ = [""] * m.lib.get_piece_size()
         for p, i in m.ids.items():
             table_[i] = p.replace(MARK, " ")
         for value, i in enumerate(m.byte_ids):
-            table_[i] = value
+            table_[i] = chr(value) if value < 128 else chr(0xDC00 + value)
         table_[m.lib.unk_id()] = " ⁇ "
         _TABLES[path] = table_
     return _TABLES[path]
