@@ -153,29 +153,33 @@ def learn(counts: dict[tuple[str, str], int], docs_of: dict[str, int], vocabular
 
 
 class Scorer:
-    """Scores of texts; keeps those of words, within a bound."""
+    """Scores of texts; keeps those of words, in two generations: what is still in use moves on when the younger one is full."""
 
-    def __init__(self, found: Model, vocabulary: Vocabulary, cache: int = 400_000):
+    def __init__(self, found: Model, vocabulary: Vocabulary, cache: int = 300_000):
         self.found, self.vocabulary, self.cache = found, vocabulary, cache
         self.row: dict[str, int] = {}
         self.rows = np.zeros((1024, len(found.langs)))
+        self.old_row: dict[str, int] = {}
+        self.old_rows = self.rows
 
-    def _add(self, words: list[str]) -> None:
-        if len(self.row) + len(words) > self.cache:
-            self.row.clear()
-        need = len(self.row) + len(words)
+    def _put(self, words: list[str], scores: np.ndarray) -> None:
+        at, need = len(self.row), len(self.row) + len(words)
         if need > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((max(need, 2 * len(self.rows)) - len(self.rows), self.rows.shape[1]))])
-        for own in by_length([w for w in words if len(w) < LONG]):
+        self.rows[at:need] = scores
+        self.row.update(zip(words, range(at, need), strict=True))
+
+    def _add(self, words: list[str]) -> None:
+        known = [w for w in words if w in self.old_row]
+        if known:
+            self._put(known, self.old_rows[[self.old_row[w] for w in known]])
+        fresh = [w for w in words if w not in self.old_row]
+        for own in by_length([w for w in fresh if len(w) < LONG]):
             pairs, grid = self.vocabulary.arcs(own)
-            made = np.log(np.maximum(forward(pairs, grid, self.found.prob)[-1], 1e-300))
-            at = len(self.row)
-            self.rows[at : at + len(own)] = made
-            self.row.update(zip(own, range(at, at + len(own)), strict=True))
-        for w in words:
+            self._put(own, np.log(np.maximum(forward(pairs, grid, self.found.prob)[-1], 1e-300)))
+        for w in fresh:
             if len(w) >= LONG:
-                self.rows[len(self.row)] = score_long(w, self.vocabulary, self.found.prob)
-                self.row[w] = len(self.row)
+                self._put([w], score_long(w, self.vocabulary, self.found.prob)[None])
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and its posterior; und and 0 where there is no letter."""
@@ -183,7 +187,9 @@ class Scorer:
         row = self.row
         new = list({w for own in parts if own for w in own if w not in row})
         if len(row) + len(new) > self.cache:
-            row.clear()
+            self.old_row, self.old_rows = self.row, self.rows
+            self.row, self.rows = {}, np.zeros((1024, self.rows.shape[1]))
+            row = self.row
             new = list({w for own in parts if own for w in own})
         self._add(new)
         out = []
