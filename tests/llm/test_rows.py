@@ -163,8 +163,9 @@ def test_lines():
     bad = ["home | about | contact | news | login", "### $$$ %%% *** buy now &&&", "BUY THIS NOW FOR FREE TODAY!!", "All rights reserved."]
     fails = lambda x: op6.line_fails(x, len(x.split()), op6.Rules())
     assert not fails(good) and not fails("NASA") and not fails("Hello there") and all(map(fails, bad))
-    *_, kept, left, text = op6.judge("\n".join([good, *bad, good]), op6.Rules())
-    assert text == good + "\n" + good and left == 2 * len(good.split()) and kept
+    other = "Another line says something else, at some more length than the first did."
+    *_, kept, left, text = op6.judge("\n".join([good, *bad, other]), op6.Rules())
+    assert text == good + "\n" + other and left == len(good.split()) + len(other.split()) and kept
 
 
 def test_quality_keeps_good_documents(spark):
