@@ -6,16 +6,24 @@ base 36 or base 64) and three tests of randomness in that encoding's alphabet,
 chi-squared uniformity of its characters, runs above and below the middle of the
 alphabet, and lag-one serial correlation.  Fisher's method joins their p-values.
 
-Small lengths give weak tests, so the limit is set for each length class by
-false-discovery control over the whole corpus: tokens of letters alone are the
-null (words), and a token that mixes letters and digits counts as a discovery
-where the Benjamini-Hochberg rule holds for its empirical p-value among the words
-of its length class and all shorter ones.  The counts that this takes are a
-table of (class, bin) cells, bounded whatever the corpus holds.
+That p is uniform for random tokens and says little about short words, so it only
+rejects (below ALPHA a token is not random).  What passes is ordered by a
+likelihood ratio: the log probability under the encoding's uniform law less that
+under a model of the corpus's words (turns between kinds of characters, pairs of
+letters), for each character.  A mean over characters spreads less the longer the
+token is, so shorter words are a null for longer tokens on the safe side.
+
+The limit is set for each length class by false-discovery control over the whole
+corpus: tokens of letters alone are the null (words), and a token that mixes
+letters and digits counts as a discovery where it is likelier random than a word
+and the Benjamini-Hochberg rule holds for its empirical p-value among the words
+of its length class and all shorter ones.  What this takes is a table of letter
+pairs and one of (class, bin) cells, bounded whatever the corpus holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +38,15 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
 
 #: Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "random")
-#: Lower ends of the length classes of tokens, and bins of the joint p-value.
+#: Lower ends of the length classes of tokens, and bins of the score: a tenth each, EVEN is where random and word are as likely.
 CLASSES = (16, 20, 24, 32, 48, 96)
 BINS = 50
+EVEN = BINS // 2
+#: The share of random tokens that the battery may reject.
+ALPHA = 0.001
+#: Symbols of the word model: all digits are 0, all marks +. Of each character's kind (lower, upper, digit, mark), the chance of the next one's; fixed, as words of letters alone say nothing of digits.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0+"
+TURNS = ((0.85, 0.05, 0.05, 0.05), (0.35, 0.55, 0.05, 0.05), (0.15, 0.10, 0.60, 0.15), (0.40, 0.20, 0.30, 0.10))
 
 
 NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,token:string>>)"
@@ -99,8 +113,42 @@ def randomness(token: str = "token") -> list[tuple[str, str]]:
     ]
 
 
-def _scored(tokens: DataFrame) -> DataFrame:
-    for name, sql in randomness():
+def word_costs(pairs: dict[str, int], flat: float = 0.2, prior: float = 20) -> list[float]:
+    """Minus the log chance of each symbol after each other one in words, row by row, from the counts of letter pairs.
+
+    flat: the share of letters that follow no rule; prior: the weight of a letter's own frequency against its pairs'.
+    """
+    seen = [[0] * 26 for _ in range(26)]
+    for pair, n in pairs.items():
+        a, b = (ord(c) - ord("a") for c in pair.lower())
+        seen[a][b] += n
+    total = sum(map(sum, seen))
+    alone = [(sum(row[b] for row in seen) + 1) / (total + 26) for b in range(26)]
+    kind = lambda i: min(i // 26, 2) + (i == 53)
+    out = []
+    for i in range(len(SYMBOLS)):
+        for j in range(len(SYMBOLS)):
+            if j >= 52:
+                one = 1 / 10 if j == 52 else 1 / 4
+            else:
+                after = (seen[i % 26][j % 26] + prior * alone[j % 26]) / (sum(seen[i % 26]) + prior) if i < 52 else alone[j % 26]
+                one = (1 - flat) * after + flat / 26
+            out.append(-math.log(TURNS[kind(i)][kind(j)] * one))
+    return out
+
+
+def scores(costs: list[float], token: str = "token") -> list[tuple[str, str]]:
+    """SQL columns after those of randomness(): the likelihood ratio a character, and the bin of it, 0 for what the battery rejects."""
+    return [
+        ("sym", f"transform(split(translate({token}, '123456789/-_', '000000000+++'), ''), c -> instr('{SYMBOLS}', c) - 1)"),
+        ("as_word", f"aggregate(zip_with(slice(sym, 1, size(sym) - 1), slice(sym, 2, size(sym)), (a, b) -> element_at(array({', '.join(f'{c:.4f}D' for c in costs)}), a * {len(SYMBOLS)} + b + 1)), 0D, (a, x) -> a + x)"),
+        ("ratio", "as_word / (n - 1) - ln(enc)"),
+        ("bin", f"case when p < {ALPHA}D then 0 else cast(greatest(0, least({BINS - 1}, floor(ratio * 10) + {EVEN})) as int) end"),
+    ]
+
+
+def _scored(tokens: DataFrame, costs: list[float]) -> DataFrame:
+    for name, sql in [*randomness(), *scores(costs)]:
         tokens = tokens.withColumn(name, F.expr(sql))
     return tokens
 
@@ -113,9 +161,15 @@ _MIXED = "token rlike '[0-9]' and token rlike '[A-Za-z]'"
 _WORD = "token rlike '^[A-Za-z]+$'"
 
 
-def limits(tokens: DataFrame, q: float) -> dict[int, int]:
+def letter_pairs(tokens: DataFrame) -> dict[str, int]:
+    """How often each pair of letters is in the words among the tokens; at most 52 x 52 counts."""
+    pairs = tokens.filter(_WORD).select(F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def limits(tokens: DataFrame, costs: list[float], q: float) -> dict[int, int]:
     """The least bin that counts as a discovery, by length class; at most len(CLASSES) x BINS x 2 counts are looked at."""
-    counts = _scored(tokens.filter(f"{_MIXED} or {_WORD}")).select(F.expr(_class("length(token)")).alias("cls"), F.expr(_MIXED).alias("target"), F.expr(f"cast(least({BINS - 1}, floor(p * {BINS})) as int)").alias("bin")).groupBy("cls", "target", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = _scored(tokens.filter(f"{_MIXED} or {_WORD}"), costs).select(F.expr(_class("length(token)")).alias("cls"), F.expr(_MIXED).alias("target"), "bin").groupBy("cls", "target", "bin").agg(F.count(F.lit(1)).alias("n"))
     target = [[0] * BINS for _ in CLASSES]
     null = [[0] * BINS for _ in CLASSES]
     for r in counts.collect():
@@ -124,7 +178,7 @@ def limits(tokens: DataFrame, q: float) -> dict[int, int]:
     for cls in range(len(CLASSES)):
         pooled = [sum(null[c][b] for c in range(cls + 1)) for b in range(BINS)]
         d, t = sum(pooled), sum(target[cls])
-        good = [b for b in range(BINS) if t and (1 + sum(pooled[b:])) / (1 + d) <= q * sum(target[cls][b:]) / t]
+        good = [b for b in range(EVEN, BINS) if t and (1 + sum(pooled[b:])) / (1 + d) <= q * sum(target[cls][b:]) / t]
         if good:
             out[cls] = min(good)
     return out
@@ -141,7 +195,8 @@ def scan(docs: DataFrame, q: float = 0.01, text_col: str = "text") -> DataFrame:
     """
     frame = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     long_tokens = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select(F.explode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("token"))
-    low = limits(long_tokens, q)
+    costs = word_costs(letter_pairs(long_tokens))
+    low = limits(long_tokens, costs, q)
     with_base = frame
     for p, k, g in ((ASSIGN, "assign", 12), (ACCESS, "access", 0), (HEX, "hex", 0)):
         with_base = with_base.withColumn(f"by_{k}", F.expr(spans_of("t", p, k, g)))
@@ -154,13 +209,13 @@ def scan(docs: DataFrame, q: float = 0.01, text_col: str = "text") -> DataFrame:
     out = out.withColumn("more", F.expr(f"filter(more, x -> x.token rlike '[0-9]' and x.token rlike '[A-Za-z]' and {least} < {BINS} and not exists(base, y -> y.start < x.end and x.start < y.end))"))
     held = ["token"]  # the battery, step by step, in structs: SQL has no let
     out = out.withColumn("s", F.expr("transform(more, x -> named_struct('start', x.start, 'end', x.end, 'token', x.token))"))
-    for name, sql in randomness("tok.token"):
+    for name, sql in [*randomness("tok.token"), *scores(costs, "tok.token")]:
         body = sql
         for h in held:
             body = _qualify(body, h)
         out = out.withColumn("s", F.expr(f"transform(s, tok -> named_struct({', '.join(f'{chr(39)}{h}{chr(39)}, tok.{h}' for h in ['start', 'end', *held])}, '{name}', {body}))"))
         held.append(name)
-    added = f"transform(filter(s, x -> cast(least({BINS - 1}, floor(x.p * {BINS})) as int) >= {least}), x -> named_struct('start', x.start, 'kind', {_kind('random')}, 'end', x.end))"
+    added = f"transform(filter(s, x -> x.bin >= {least}), x -> named_struct('start', x.start, 'kind', {_kind('random')}, 'end', x.end))"
     return out.select("row", "base", F.expr(f"array_sort(concat(base, {added}))").alias("found"))
 
 

@@ -89,6 +89,21 @@ def test_battery_tells_keys_from_words(spark):
     assert sum(r["text"] == "see [SECRET] ok" and r["n_chars"] == 15 for r in masked) == hits
 
 
+def test_random_keys_by_length(spark):
+    """Keys of every length, planted among the tokens of the given table."""
+    rng = random.Random(11)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = [(n, "".join(rng.choice(a) for _ in range(n - 1)) + "7") for a in alphabets for n in (16, 20, 32, 40, 64, 128) for _ in range(100)]
+    names = ["version2versionversion2", "en/articles/2021/03/why-cats-sleep", "item-123456789012345"] * 20
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    frame = spark.createDataFrame([("see " + w + " ok",) for w in [k for _, k in keys] + names], "text string").union(docs)
+    found = {r["text"]: len(r["found"]) for r in op4.scan(frame).select("row.text", "found").filter("text like 'see % ok'").collect()}
+    for n in (16, 20, 32, 40, 64, 128):
+        own = [found["see " + k + " ok"] > 0 for m, k in keys if m == n]
+        assert sum(own) >= 0.95 * len(own), n
+    assert not any(found["see " + w + " ok"] for w in names)
+
+
 def test_redact(spark):
     frame = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     for r in op4.redact(frame).collect():
