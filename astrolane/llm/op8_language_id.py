@@ -5,8 +5,9 @@ The score of a word is the sum, over all ways to cut it into pieces, of the
 product of their probabilities; the forward algorithm gives that sum without
 listing the cuts.  The probabilities are learned by expectation maximisation:
 forward and backward sums give the expected count of each piece in the training
-words of a language.  A text's score is that of its words, and its language the
-one of the greatest posterior.
+words of a language; long words, as languages without spaces have them, count
+like all others.  A text's score is that of its words, and its language the one of
+the greatest posterior.
 
 Words of one Arrow batch that are not known yet are scored together: one step of
 the recursion is one array operation over all words of a length.
@@ -31,7 +32,7 @@ from astrolane.llm.common import table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
-#: Words of so many characters or more are scored alone, with rescaling.
+#: Words of so many characters or more are scored alone, with rescaling. In training they are first cut where no piece can cross.
 LONG = 40
 
 
@@ -103,6 +104,38 @@ def score_long(word: str, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarra
     return np.log(np.maximum(alpha[n % (far + 1)], 1e-300)) + shift
 
 
+def parts_of(word: str, vocabulary: Vocabulary) -> list[str]:
+    """The word cut wherever no piece of it can cross: sums over its segmentations are products of the parts' sums."""
+    n, index, far = len(word), vocabulary.index, vocabulary.longest
+    out, start, reach = [], 0, 0
+    for j in range(n):
+        if j and reach <= j:
+            out.append(word[start:j])
+            start = j
+        reach = max(reach, next((i for i in range(min(n, j + far), j + 1, -1) if word[j:i] in index), j + 1))
+    return [*out, word[start:]]
+
+
+def expect_long(word: str, vocabulary: Vocabulary, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces in a word of any length and the expected count of each, arc by arc; in logs."""
+    n, get, far = len(word), vocabulary.index.get, vocabulary.longest
+    ends = []  # of each position: where its arcs begin, and their pieces
+    for i in range(1, n + 1):
+        own = [(j, k) for j in range(max(0, i - far), i) if (k := get(word[j:i], 0 if i - j == 1 else -1)) >= 0]
+        ends.append((np.array([j for j, _ in own]), np.array([k for _, k in own])))
+    log = np.log(np.maximum(prob, 1e-300))
+    alpha = np.full((n + 1, prob.shape[1]), -np.inf)
+    beta = alpha.copy()
+    alpha[0] = beta[n] = 0
+    for i, (j, k) in enumerate(ends, 1):
+        alpha[i] = np.logaddexp.reduce(alpha[j] + log[k])
+    for i in range(n, 0, -1):
+        j, k = ends[i - 1]
+        beta[j] = np.logaddexp(beta[j], beta[i] + log[k])
+    pieces = np.concatenate([k for _, k in ends])
+    return pieces, np.concatenate([np.exp(alpha[j] + log[k] + beta[i] - alpha[n]) for i, (j, k) in enumerate(ends, 1)])
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case words, each behind the mark."""
     return [MARK + w for w in text.lower().split()]
@@ -130,9 +163,10 @@ def learn(counts: dict[tuple[str, str], int], docs_of: dict[str, int], vocabular
     column = {x: k for k, x in enumerate(langs)}
     weight: dict[str, np.ndarray] = {}
     for (lang, word), n in counts.items():
-        if len(word) < LONG:
-            weight.setdefault(word, np.zeros(len(langs)))[column[lang]] += n
-    groups = [(own, *vocabulary.arcs(own), np.array([weight[w] for w in own])) for own in by_length(list(weight))]
+        for part in [word] if len(word) < LONG else parts_of(word, vocabulary):
+            weight.setdefault(part, np.zeros(len(langs)))[column[lang]] += n
+    groups = [(own, *vocabulary.arcs(own), np.array([weight[w] for w in own])) for own in by_length([w for w in weight if len(w) < LONG])]
+    long = [(w, np.flatnonzero(n), n[n > 0]) for w, n in weight.items() if len(w) >= LONG]
     prob = np.full((vocabulary.size + 1, len(langs)), 1 / vocabulary.size)
     prob[-1] = 0  # where there is no piece
     for _ in range(rounds):
@@ -145,6 +179,9 @@ def learn(counts: dict[tuple[str, str], int], docs_of: dict[str, int], vocabular
                 if there.any():
                     piece = grid[there, k]
                     np.add.at(expected, piece, alpha[j, there] * prob[piece] * beta[i, there] * scale[there])
+        for word, own, n in long:
+            pieces, times = expect_long(word, vocabulary, prob[:, own])
+            np.add.at(expected, (pieces[:, None], own), times * n)
         prob = expected + smooth
         prob[-1] = 0
         prob /= prob.sum(axis=0)

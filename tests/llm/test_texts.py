@@ -169,6 +169,38 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(op8.score_long(word, vocabulary, prob), np.log(want))
 
 
+def test_expected_counts_of_long_words():
+    vocabulary = op8.Vocabulary(PATH)
+    rng = np.random.default_rng(4)
+    prob = np.concatenate([rng.random((vocabulary.size, 2)) / 100, np.zeros((1, 2))])
+    for word in ("▁zuñ中", "▁ation", "のthe中国"):
+        want = np.zeros_like(prob)
+        ways = [(own, np.prod(prob[own], axis=0)) for own in segmentations(word, vocabulary)]
+        for own, p in ways:
+            for k in own:
+                want[k] += p / sum(p for _, p in ways)
+        assert "".join(op8.parts_of(word, vocabulary)) == word
+        for parts in ([word], op8.parts_of(word, vocabulary)):
+            made = np.zeros_like(prob)
+            for part in parts:
+                np.add.at(made, *op8.expect_long(part, vocabulary, prob))
+            assert np.allclose(made, want)
+
+
+def test_languages_without_spaces(spark):
+    """Two of one script, told apart by how often its letters occur, and one of another; the first has most documents."""
+    rng = np.random.default_rng(5)
+    kana, thai = "のンをスしるトすいイにルたでまて", "ารนอกงมลบยดวสคทต"
+    shares = {"aa": (kana, np.arange(1, 17)), "bb": (kana, np.arange(16, 0, -1)), "cc": (thai, np.ones(16))}
+    made = [(la, "".join(rng.choice(list(abc), 120, p=w / w.sum()))) for la, n in (("aa", 150), ("bb", 50), ("cc", 50)) for abc, w in [shares[la]] for _ in range(n)]
+    made += [("dd", "x" * 3000), ("dd", "http" + "thereisnospaceinthis" * 20)]
+    frame = spark.createDataFrame([(i, t, la) for i, (la, t) in enumerate(made)], "doc_id long, text string, lang string")
+    found = op8.fit(frame.filter("doc_id % 2 = 0 or lang = 'dd'"))
+    assert found.langs == ["aa", "bb", "cc", "dd"] and np.isfinite(found.prob).all()
+    rows = op8.classify(frame, found).join(frame, "doc_id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.97
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = op8.op8_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
