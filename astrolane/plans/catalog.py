@@ -7,6 +7,8 @@ to six decimals and NaN becomes null, so that results compare across engines.
 
 from __future__ import annotations
 
+import math
+
 from astrolane.functions import geodesy, scaling, tabular, timescale, units
 from astrolane.functions import spectral as sp
 from astrolane.functions.distortion import Dss, Sip, Surface, Tnx, Tpv
@@ -14,7 +16,7 @@ from astrolane.functions.projections import CODES, projection
 from astrolane.operators import celestial
 from astrolane.operators.checksum import fold
 from astrolane.operators.wcs import Tab, Wcs, compose_ltm
-from astrolane.stages import Flow, horner, num, wrap180, wrap360
+from astrolane.stages import Flow, horner, num, when, wrap180, wrap360
 
 KEYS = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}
 
@@ -39,6 +41,12 @@ def _out(flow: Flow, digits: int = 6, **cols: str) -> Flow:
 SMALL = {"NAXIS1": 1000, "NAXIS2": 1000, "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CRPIX1": 500.5, "CRPIX2": 500.5, "CRVAL1": 150.0, "CRVAL2": 30.0, "CDELT1": -0.01, "CDELT2": 0.01}
 PV = {"COP": {1: 45.0, 2: 20.0}, "COE": {1: 45.0, 2: 20.0}, "COD": {1: 45.0, 2: 20.0}, "COO": {1: 45.0, 2: 20.0}, "BON": {1: 45.0}, "ZPN": {0: 0.05, 1: 0.95, 2: -0.025, 3: -0.15833}, "AZP": {1: 2.0, 2: 30.0}, "SZP": {1: 2.0, 2: 180.0, 3: 60.0}, "SIN": {1: 0.1, 2: -0.2}, "CYP": {1: 1.0, 2: 0.7}, "CEA": {1: 0.8}, "AIR": {1: 45.0}}
 
+#: Where the radius of the ZPN above turns back: the zero of its derivative 0.95 - 0.05 z - 0.47499 z^2, as a latitude.
+ZPN_TURN = 90 - math.degrees((math.sqrt(0.05**2 + 4 * 0.95 * 3 * 0.15833) - 0.05) / (2 * 3 * 0.15833))
+
+#: Where the SZP above is seen from: x and y, and the depth below the sphere's centre.
+SZP_POINT = (-2.0 * math.cos(math.radians(60.0)) * math.sin(math.radians(180.0)), 2.0 * math.cos(math.radians(60.0)) * math.cos(math.radians(180.0)), 2.0 * math.sin(math.radians(60.0)))
+
 
 def pipelines() -> dict[str, Flow]:
     out = {}
@@ -75,6 +83,8 @@ def pipelines() -> dict[str, Flow]:
     out["fiducial_pix2world"] = _out(fwd(moved), ra="w1", dec="w2")
     corner = Flow("part").where("p_partkey < 400").let(corner="cast(p_partkey % 4 as double)")
     out["footprint"] = corner.stages(tan.footprint_stages("corner", ["ra", "de"])).select(p_partkey="p_partkey", corner="corner", ra=clean("ra"), dec=clean("de"))
+    corners = Flow("part").let(corner="cast(p_partkey % 4 as double)")
+    out["footprint_all"] = corners.stages(tan.footprint_stages("corner", ["ra", "de"])).select(p_partkey="p_partkey", corner="corner", ra=clean("ra"), dec=clean("de"))
     out["pixel_scale"] = _out(pixels().stages(tan.scale_stages(["px", "py"], "sx", "sy")), 5, sx="sx", sy="sy")
     out["origin_one"] = _out(pixels().stages(tan.forward(["(px - 1)", "(py - 1)"], ["w1", "w2"])), ra="w1", dec="w2")
     out["pixel_list_wcs"] = out["tan_pix2world"]
@@ -114,6 +124,14 @@ def projections() -> dict[str, Flow]:
         fwd = f.stages(p.forward("phi", "theta")).let(x="_x", y="_y")
         out[f"proj_{code.lower()}_s2x"] = _out(fwd, x="x", y="y")
         out[f"proj_{code.lower()}_x2s"] = _out(fwd.stages(p.inverse("x", "y")), 5, phi2=wrap180("_phi"), theta2="_theta")
+        if any(kind == "where" for kind, *_ in f.steps):
+            # all rows; what has no place in the plane, or shares it with a position nearer to the pole, is null
+            inside = f"theta > {num(ZPN_TURN)}" if code == "ZPN" else "true"
+            # SZP: the projection's own test has the signs of l and m turned round, which only shows below theta = 20
+            facing = {"_facing": f"{num(-SZP_POINT[0])} * _l + {num(SZP_POINT[1])} * _m + {num(SZP_POINT[2])} * (1 - _u)"}
+            whole = sky().let(phi="phi + 0.0371", theta="theta + 0.0173").stages([s | facing if "_facing" in s else s for s in p.forward("phi", "theta")]).let(x=when(inside, "_x"), y=when(inside, "_y"))
+            out[f"proj_{code.lower()}_s2x_all"] = _out(whole, x="x", y="y")
+            out[f"proj_{code.lower()}_x2s_all"] = _out(whole.stages(p.inverse("x", "y")), 5, phi2=wrap180("_phi"), theta2="_theta")
     counts = None
     for code in ("TAN", "SIN", "MER", "STG"):
         p = projection(code)
@@ -133,6 +151,7 @@ def rotations() -> dict[str, Flow]:
     out["great_circle"] = pair.stages(celestial.separation("lon", "lat", "lon + 1.5", "lat * 0.5", "d")).select(c_custkey="c_custkey", d=clean("d"))
     agg, end = celestial.centroid("lon", "lat")
     out["centroid"] = pair.where("lon < 60 and lat > 10").agg(["c_nationkey"], **agg).let(**end).select(c_nationkey="c_nationkey", lon=clean("lon", 5), lat=clean("lat", 5))
+    out["centroid_all"] = pair.agg(["c_nationkey"], **agg).let(**end).select(c_nationkey="c_nationkey", lon=clean("lon", 5), lat=clean("lat", 5))
     out["wrap_angles"] = Flow("customer").let(a="c_acctbal * 3").select(c_custkey="c_custkey", w360=clean(wrap360("a"), 4), w180=clean(wrap180("a"), 4))
     return out
 

@@ -2,6 +2,7 @@
 
 import csv
 import math
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -124,3 +125,35 @@ def test_kinds_and_corners(spark):
     assert [(r["ra"] < 83.6, r["dec"] > 22) for r in out] == [(False, False), (True, False), (True, True), (False, True)] and all(r["f"] == 1.4e9 for r in out)
     r = apply(spark.range(1).selectExpr("5.0D x", "10.0D y", "0.0D z"), w.scale_stages(["x", "y", "z"], "sx", "sy")).first()
     assert abs(r["sx"] - 36) < 1e-3 and abs(r["sy"] - 36) < 1e-3
+
+
+def test_whole_tables(spark):
+    """Queries over all rows: every position that a projection has comes back, the others are null."""
+    from astrolane.plans import catalog
+
+    sf, made = "/root/testdata/sf0.001", catalog.queries()
+    everywhere = {"air", "arc", "bon", "cod", "coe", "coo", "stg", "zea"}
+    codes = {n[5:8] for n in made if n.endswith("_x2s_all")}
+    assert codes == everywhere | {"azp", "cop", "sin", "szp", "tan", "zpn"}
+    rows = catalog.sky().let(phi="phi + 0.0371", theta="theta + 0.0173").frame(spark, sf)
+    place = {}
+    for r in rows.collect():  # keys repeat
+        place.setdefault((r["l_orderkey"], r["l_linenumber"]), []).append((r["phi"], r["theta"]))
+    for code in sorted(codes):
+        got = made[f"proj_{code}_x2s_all"](spark, sf).collect()
+        assert Counter((r["l_orderkey"], r["l_linenumber"]) for r in got) == {k: len(v) for k, v in place.items()}
+        there = [r for r in got if r["theta2"] is not None]
+        assert len(there) == len(got) if code in everywhere else len(got) / 4 < len(there) < len(got), code
+        for r in there:
+            assert any(abs(r["theta2"] - theta) < 1e-4 and abs((r["phi2"] - phi + 180) % 360 - 180) < 1e-4 for phi, theta in place[r["l_orderkey"], r["l_linenumber"]]), (code, r)
+    assert made["footprint_all"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    sums = {}
+    for r in spark.read.parquet(f"{sf}/customer.parquet").collect():
+        lon, lat = math.radians(r["c_custkey"] * 37 % 3600 / 10), math.radians(r["c_custkey"] * 13 % 1780 / 10 - 89)
+        v = sums.setdefault(r["c_nationkey"], [0.0, 0.0, 0.0])
+        for k, x in enumerate((math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat))):
+            v[k] += x
+    got = {r["c_nationkey"]: r for r in made["centroid_all"](spark, sf).collect()}
+    assert set(got) == set(sums)
+    for k, (x, y, z) in sums.items():
+        assert abs(got[k]["lon"] - math.degrees(math.atan2(y, x)) % 360) < 1e-4 and abs(got[k]["lat"] - math.degrees(math.atan2(z, math.hypot(x, y)))) < 1e-4
