@@ -266,8 +266,8 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 64, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, block: int = 64, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, marks: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; with marks also mark, a hash of its text.
 
     Texts are linked when den * intersection >= num * union of their sets of
     `width`-word shingles; component_id is the smallest id reachable by links.
@@ -286,9 +286,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         shingler = _SHINGLERS.setdefault(width, Shingler(width))
         for b in batches:
             rows = [(len(s), *_key(s)) for s in map(shingler.set_of, b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["doc_id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=[*kept, "n", "k1", "k2"])
 
-    every = scratch.write(frame.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long"), "sets")
+    kept = ["doc_id", "mark"] if marks else ["doc_id"]
+    every = scratch.write((frame.withColumn("mark", F.xxhash64("text")) if marks else frame).mapInArrow(sets, ", ".join(f"{c} long" for c in [*kept, "n", "k1", "k2"])), "sets")
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(sign, doc) once for each signature of a batch, and (any, doc, hub) for the others' edges to that document."""
@@ -408,8 +409,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     links = star.filter("linked and rep <> hub_rep").select(F.col("rep").alias("a"), F.col("hub_rep").alias("b")).unionByName(found)
     labels = components(scratch.write(links, "links"), scratch, "links")
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("label", "rep").alias("component"))
-    out = every.select("doc_id", "n", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = every.select(*kept, "n", "k1", "k2").join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *kept[1:])
 
 
 def _interval_column(n: str, rule: Sizes):
@@ -422,10 +423,13 @@ def _interval_column(n: str, rule: Sizes):
 
 
 def drop_near(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs, columns as they came, less those in the component of a document with a smaller id."""
-    found = jaccard_components(docs, width, num, den, scratch=scratch)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs, columns as they came, less those in the component of a document with a smaller id.
+
+    Where an id repeats with other texts, each row goes or stays by its own.
+    """
+    found = jaccard_components(docs, width, num, den, scratch=scratch, marks=True)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark"))
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_mark"]), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,14 @@ def test_jaccard_of_odd_rows(odd, none):
     assert op7.jaccard_components(none).count() == 0
 
 
+def test_near_copies_go_by_their_own_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    same, other = " ".join(words), " ".join(reversed(words))
+    frame = spark.createDataFrame([(1, same), (2, same + " "), (2, other), (3, same), (4, None), (None, other)], "doc_id long, text string")
+    rows = Counter((r["doc_id"], r["text"]) for r in op7.drop_near(frame).collect())
+    assert rows == Counter([(1, same), (2, other), (4, None), (None, other)])
+
+
 def test_tree_prunes_but_loses_nothing():
     rng = np.random.default_rng(1)
     rule, sets = op7.Sizes(90, 100), []
