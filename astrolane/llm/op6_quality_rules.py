@@ -2,7 +2,8 @@
 
 Each line is judged on its own: lines without letters or closing punctuation
 where they have symbols or separators, navigation lines, boilerplate and shouting
-go.  What is left is compared with what came: a document that lost too much of
+go.  Short lines without closing punctuation go where several follow each other:
+those are menus, while a heading stands alone.  What is left is compared with what came: a document that lost too much of
 its text is rejected, as one that fails the base rules is (too few words, too
 many words inside repeated five-word windows).
 """
@@ -10,6 +11,7 @@ many words inside repeated five-word windows).
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,8 +59,11 @@ class Rules:
     #: a line of so many symbols to a word or more, or of so many shouted words, fails
     symbol_ratio: float = 0.3
     shout_ratio: float = 0.8
-    #: a line of so many words or more that closes with no punctuation fails if it has no lower-case letter either
+    #: a line of so many words or more fails if it has no lower-case letter
     shout_words: int = 4
+    #: lines of so many words or fewer that close with no punctuation fail where so many or more follow each other
+    menu_words: int = 3
+    menu_lines: int = 5
     #: a document must keep more than this share of its words
     min_kept: float = 0.25
 
@@ -113,6 +118,11 @@ def line_fails(line: str, n_words: int, rules: Rules) -> bool:
     return False
 
 
+def is_item(line: str, n_words: int, rules: Rules) -> bool:
+    """Whether a line may be one of a menu. Not where letters have no case: there a word can be a whole sentence."""
+    return n_words <= rules.menu_words and line.lower() != line.upper() and unicodedata.category(line.rstrip()[-1])[0] != "P"
+
+
 def judge(text: str | None, rules: Rules) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words kept, clean text."""
     text = text or ""
@@ -122,6 +132,16 @@ def judge(text: str | None, rules: Rules) -> tuple:
     chars = len(text) - (len(raw) - sum(map(len, words)))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     seen, dup, left, good = set(), 0, 0, []
+    items = []  # of the menu lines that follow each other: the place in good, or None if not there, and the words
+
+    def end_menu() -> int:
+        """Takes the lines out if they are a menu; the words that go."""
+        gone = [x for x in items if x[0] is not None] if len(items) >= rules.menu_lines else []
+        for at, _ in gone:
+            good[at] = None
+        items.clear()
+        return sum(k for _, k in gone)
+
     for line in text.split("\n"):
         count = len(line.encode("utf-8", "surrogatepass").split())
         if not count:
@@ -130,13 +150,19 @@ def judge(text: str | None, rules: Rules) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        if not line_fails(line, count, rules):
+        fails, item = line_fails(line, count, rules), is_item(line, count, rules)
+        if not item:
+            left -= end_menu()
+        else:
+            items.append((None if fails else len(good), count))
+        if not fails:
             left += count
             good.append(line)
+    left -= end_menu()
     repeat = count_repeated(words)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_pct * n
     kept = not failed and left > rules.min_kept * n
-    return n, chars, symbols, dup, repeat, failed, kept, left, "\n".join(good)
+    return n, chars, symbols, dup, repeat, failed, kept, left, "\n".join(x for x in good if x is not None)
 
 
 _NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -183,6 +183,17 @@ def test_lines():
     assert text == good + "\n" + other and left == len(good.split()) + len(other.split()) and kept
 
 
+def test_menus_go_and_headings_stay():
+    menu = ["Home", "About us", "Contact us", "Our products", "", "Careers", "News room", "Site map"]
+    *_, kept, left, text = op6.judge("\n".join(menu), op6.Rules())
+    assert not kept and left == 0 and not text.strip()
+    prose = "This is a plain sentence of some words, and it ends well."
+    poem = ["The river bends", "and the willow leans", "over the slow water", "in the evening,", "nobody speaks now.", "The lamp is out."]
+    text = "\n".join(["A Heading", prose, "Next Heading", "Its second part", prose, *poem, *["这是一行诗"] * 2, "山高水长", "月落乌啼", "江枫渔火"])
+    assert op6.judge(text, op6.Rules())[-1] == text
+    assert op6.judge("\n".join([prose, *menu, prose]), op6.Rules())[-1] == "\n".join([prose, "", prose])
+
+
 def test_quality_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
