@@ -244,14 +244,44 @@ def near_rows(seed):
     return [*rows, (len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, " \n")]
 
 
-@pytest.mark.parametrize(("seed", "width", "num", "block"), [(5, 3, 90, 64), (6, 3, 90, 4), (7, 5, 80, 4), (8, 1, 70, 3)])
-def test_jaccard(spark, seed, width, num, block):
+@pytest.mark.parametrize(("seed", "width", "num", "sizes"), [(5, 3, 90, {}), (6, 3, 90, {"block": 4, "hubs": 1}), (7, 5, 80, {"block": 6, "hubs": 1, "paired": 3, "fits": 10}), (8, 1, 70, {"paired": 2, "fits": 3}), (9, 5, 80, {})])
+def test_jaccard(spark, seed, width, num, sizes):
     rows = near_rows(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame, width, num, 100, block).collect()}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame, width, num, 100, **sizes).collect()}
     assert got == jaccard_brute(rows, width, num, 100)
 
 
+def test_passages_in_many_texts_lose_no_link(spark):
+    """Texts of one passage and words of their own, with near copies among them, in small tasks."""
+    rng, rows = random.Random(3), []
+    passage = [f"p{i}" for i in range(60)]
+    for _ in range(40):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 12, 30, 60]))]
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w = [*passage, *own]
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for sizes in ({}, {"paired": 16, "block": 16, "hubs": 1}):
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame, 5, 80, 100, **sizes).collect()}
+        assert got == jaccard_brute(rows, 5, 80, 100)
+    kept = {r["doc_id"] for r in op7.drop_near(frame, 5, 80, 100).collect()}
+    assert kept == {c for _, _, c in jaccard_brute(rows, 5, 80, 100)}
+
+
+def test_words_of_any_length_and_portion():
+    rng = random.Random(4)
+    texts = ["", " \n", "a", "A b", "x" * 5000 + " y z", *(" ".join("w" * rng.randint(1, 9) + str(rng.randrange(50)) for _ in range(rng.randint(1, 400))) for _ in range(60))]
+    one = op7.Shingler(3)
+    whole = [one.set_of(t) for t in texts]
+    small = op7.Shingler(3)
+    small.PORTION = 500
+    for t, a, b in zip(texts, whole, small.sets(texts), strict=True):
+        w = t.lower().split()
+        assert len(a) == (len({tuple(w[k : k + 3]) for k in range(len(w) - 2)}) if len(w) > 2 else len(w) > 0) and np.array_equal(a, b)
+
+
 def test_jaccard_of_documents(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(docs).collect()}
@@ -279,10 +309,10 @@ def test_tree_prunes_but_loses_nothing():
     for _ in range(20):
         base = rng.integers(0, 2**63, rng.integers(20, 200)).astype(np.uint64)
         sets += [np.unique(base), np.unique(base[: int(len(base) * 0.95)]), np.unique(base[: int(len(base) * 0.86)])]
-    union = op7.Union(len(sets))
+    union = op7.Forest()
     for i, j in op7.tree_join(sets, [0] * len(sets), [False] * len(sets), rule):
         union.join(i, j)
-    want = op7.Union(len(sets))
+    want = op7.Forest()
     for i in range(len(sets)):
         for j in range(i):
             if rule.linked(len(sets[i]), len(sets[j]), len(np.intersect1d(sets[i], sets[j]))):
