@@ -8,6 +8,7 @@ only where that setting is unset (local tests).
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Shuffle files of tables that have been written go now, not when the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         try:
             jvm = self.spark._jvm

@@ -495,11 +495,13 @@ def _meet(rule: Sizes):
 
 
 def _exact_sets(width: int):
-    """Texts with the name of the set that is meant -> that set, where the text has it."""
+    """Texts with the name of the set that is meant -> that set, where the text has it; once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, given = Shingler(width), set()
         for b in batches:
+            new = [node not in given and not given.add(node) for node in b.column("node").to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
             sets = list(shingler.sets(b.column("text").to_pylist()))
             right = pa.array([len(s) > 0 and _name(s) == node for s, node in zip(sets, b.column("node").to_pylist(), strict=True)], pa.bool_())
             kept = ("cluster", "chunks", "c", "node", "n")
@@ -530,6 +532,7 @@ def _candidates(frame: DataFrame, every: DataFrame, width: int, rule: Sizes, scr
     signed = frame.select("text").mapInArrow(_signatures(width, rule), "sign long, node long, salt int").withColumn("part", F.greatest("salt", F.lit(0)))
     met = signed.repartition("sign", "part").sortWithinPartitions("sign", "part", "node").drop("part").mapInArrow(_meetings, "sign long, a long, b long")
     met = scratch.write(met, "met")
+    scratch.settle()
     edges = scratch.write(met.filter("sign is null").select("a", "b").distinct(), "edges")
     nodes = edges.select("a").union(edges.select("b")).distinct()
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("rep")
@@ -603,8 +606,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     members = scratch.write(classes.drop("sketch").join(of, F.col("node") == F.col("of")).select("cluster", "node", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark")), "members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e")).select(F.col("cluster").alias("of"), "c", F.ceil(F.greatest(F.col("c") / block, F.col("e") / elements)).alias("chunks")).filter("c > 1")
     named = members.join(sizes, members["cluster"] == sizes["of"]).select("cluster", "node", "n", "rep_id", "rep_mark", "c", "chunks")
-    texts = named.join(frame, (named["rep_mark"] == frame["mark"]) & named["rep_id"].eqNullSafe(frame["doc_id"])).select("cluster", "chunks", "c", "node", "n", "text")
-    sets = scratch.write(texts.mapInArrow(_exact_sets(width), "cluster long, chunks long, c long, node long, n long, elements binary").dropDuplicates(["node"]), "exact")
+    # merged at any size: who is in a cluster has no bound
+    texts = named.join(frame.hint("merge"), (named["rep_mark"] == frame["mark"]) & named["rep_id"].eqNullSafe(frame["doc_id"])).select("cluster", "chunks", "c", "node", "n", "text")
+    sets = scratch.write(texts.mapInArrow(_exact_sets(width), "cluster long, chunks long, c long, node long, n long, elements binary"), "exact")
 
     own = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     shared = own.filter((F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("c")) < hubs))
@@ -643,7 +647,7 @@ def drop_near(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, sc
     """
     found = jaccard_components(docs, width, num, den, scratch=scratch, marks=True, **sizes)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_mark"]), "left_anti")
+    return docs.hint("merge").join(gone, (docs["doc_id"].cast("long") == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_mark"]), "left_anti")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
