@@ -7,12 +7,13 @@ encoded alone.  And in the encoding of a string every pair of neighbours is
 conversely a chain of compatible neighbours is the encoding.  So every prefix of
 a word has exactly one last piece that is compatible with the last piece of what
 precedes it, and a dynamic program over prefixes finds it without encoding again.
-Runs of space marks have merges of equal score, where that does not hold; words
-behind such runs are encoded by the library, prefix by prefix.
+Runs of space marks are no exception: their merges have equal scores, of which the
+leftmost comes first, and compatibility minds that.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import sentencepiece
@@ -49,6 +50,13 @@ class PieceModel:
             elif len(parts := self.merge(p, 2)) == 2 and "".join(parts) in self.ids and self.merge(p) == [p]:
                 self.made[p], self.halves[p] = self.rank[p], (parts[0], parts[1])
                 self.reached.add(p)
+        #: the pieces read backwards: from an end, character by character; under the empty string a piece that is whole there
+        self.endings: dict = {}
+        for p in self.reached:
+            at = self.endings
+            for c in reversed(p):
+                at = at.setdefault(c, {})
+            at[""] = p
         self.pairs: dict[tuple[str, str], bool] = {}
         self.heads: dict[str, tuple[list[str | None], list[int]]] = {}
         self.cache = cache
@@ -104,22 +112,25 @@ class PieceModel:
         n = len(text)
         if before != UNKNOWN or n <= HEAD:
             last: list[str | None] = [before] + [None] * n
-            return self._extend(text, last, [0] * (n + 1), 1)
+            return self.extend(text, last, [0] * (n + 1), 1)
         head = text[:HEAD]
         known = self.heads.get(head)
         if known is None:
             if len(self.heads) >= self.cache // 4:
                 self.heads.clear()
-            known = self.heads[head] = self._extend(head, [UNKNOWN] + [None] * HEAD, [0] * (HEAD + 1), 1)
+            known = self.heads[head] = self.extend(head, [UNKNOWN] + [None] * HEAD, [0] * (HEAD + 1), 1)
         more = n - HEAD
-        return self._extend(text, known[0] + [None] * more, known[1] + [0] * more, HEAD + 1)
+        return self.extend(text, known[0] + [None] * more, known[1] + [0] * more, HEAD + 1)
 
-    def _extend(self, text: str, last: list[str | None], count: list[int], at: int) -> tuple[list[str | None], list[int]]:
-        reached, pairs, longest = self.reached, self.pairs, self.longest
+    def extend(self, text: str, last: list[str | None], count: list[int], at: int) -> tuple[list[str | None], list[int]]:
+        """Fills in what prefixes() gives, from prefixes of `at` characters on."""
+        endings, pairs = self.endings, self.pairs
         for i in range(at, len(text) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                piece = text[j:i]
-                if piece in reached and (prev := last[j]) is not None:
+            node, j = endings, i
+            while j and (node := node.get(text[j - 1])):  # one piece at most goes on with a chain, in whatever order they come
+                j -= 1
+                if "" in node and (prev := last[j]) is not None:
+                    piece = node[""]
                     ok = True if prev == UNKNOWN else pairs.get((prev, piece))
                     if ok or ok is None and self.fits(prev, piece):
                         last[i], count[i] = piece, count[j] + 1
@@ -144,34 +155,18 @@ class PieceModel:
 
     def counts_of(self, word: str) -> list[int]:
         """Token count of each prefix, of 1 character and more, of a word behind its mark or marks."""
-        if word.startswith(MARK * 2):
-            return [len(self.encode_marked(word[:i])) for i in range(1, len(word) + 1)]
         return self.prefixes(word)[1][1:]
 
-    def encode_marked(self, marked: str) -> list[int]:
-        """Encoding of a string that starts with the mark that the library would add."""
-        return self.lib.encode(marked[1:]) if len(marked) > 1 else [self.ids[MARK]]
-
     def ids_of(self, word: str) -> list[int]:
-        if word.startswith(MARK * 2):
-            return self.encode_marked(word)
         return self.backtrace(word, self.prefixes(word)[0], len(word))
 
 
+_WORDS = re.compile(f"{MARK}+[^{MARK}]*")
+
+
 def words_of(marked: str) -> list[str]:
     """A marked string as its words, each behind its mark or marks."""
-    if MARK * 2 not in marked:
-        return [MARK + w for w in marked.split(MARK)[1:]]
-    out, at, n = [], 0, len(marked)
-    while at < n:
-        end = at
-        while end < n and marked[end] == MARK:
-            end += 1
-        end = marked.find(MARK, end)
-        end = n if end < 0 else end
-        out.append(marked[at:end])
-        at = end
-    return out
+    return [MARK + w for w in marked.split(MARK)[1:]] if MARK * 2 not in marked else _WORDS.findall(marked)
 
 
 class Kept:
