@@ -17,7 +17,9 @@ than one state.
 from __future__ import annotations
 
 import binascii
+import functools
 import itertools
+import operator
 import pickle
 import re
 from array import array
@@ -38,6 +40,7 @@ MODEL = "piece_bpe_32k.model"
 MEET = (UNKNOWN, 0)
 State = tuple[str, int]  # the piece, and how far it stretches over the boundary
 Matrix = dict[State, dict[State, int]]
+Chain = tuple[int, list[str | None], list[int]]  # where it begins; of each prefix the last piece, None where there is none, and the tokens
 
 
 class ChunkCoder:
@@ -45,7 +48,7 @@ class ChunkCoder:
 
     def __init__(self, pieces: PieceModel):
         self.pieces = pieces
-        self.kept = Kept(lambda word: array("I", pieces.ids_of(word)).tobytes())
+        self.kept = Kept(lambda word: array("I", pieces.lib.encode(word[1:]) if len(word) > 1 else [pieces.ids[MARK]]).tobytes())
 
     def words(self, marked: str) -> bytes:
         return b"".join(self.kept.many(marked))
@@ -79,7 +82,7 @@ class ChunkCoder:
             out.append((UNKNOWN, 0))
         return out
 
-    def run(self, text: str, state: State, left: int, stop: int) -> tuple[int, list[str | None], list[int]]:
+    def run(self, text: str, state: State, left: int, stop: int) -> Chain:
         """Prefix chains from a state at the boundary `left` up to `stop`; where they start."""
         piece, over = state
         begin = left + over
@@ -91,26 +94,51 @@ class ChunkCoder:
         out: Matrix = {}
         first, last_start = self.split(text, left, right)
         exits = [MEET] if end else self.states(text, right)
-        tail_from = last_start if first <= right else None
-        tail: dict[State, int] = {}
-        if tail_from is not None:
-            tail = self._exits(text, MEET, tail_from, right, exits, end)
-            inside = len(self.words(text[first:last_start])) // 4 if last_start > first else 0
-        for state in self.states(text, left):
-            if tail_from is None:
-                row = self._exits(text, state, left, right, exits, end)
-            else:
-                begin, last, count = self.run(text, state, left, first)
-                if begin > first or last[first - begin] is None:
-                    continue
-                head = count[first - begin] + inside
-                row = {x: w - head for x, w in tail.items()}
-            if row:
-                out[state] = row
+        stop = right if end else min(len(text), right + self.pieces.longest)
+        states = self.states(text, left)
+        if first > right:  # no word starts inside
+            for state, chain in self.chains(text, states, left, stop):
+                if row := self._exits(chain, text, right, exits, end):
+                    out[state] = row
+            return out
+        tail = self._exits(self.run(text, MEET, last_start, stop), text, right, exits, end)
+        inside = len(self.words(text[first:last_start])) // 4 if last_start > first else 0
+        for state, (begin, last, count) in self.chains(text, [s for s in states if left + s[1] <= first], left, first):
+            if tail and last[first - begin] is not None:
+                out[state] = {x: w - inside - count[first - begin] for x, w in tail.items()}
         return out
 
-    def _exits(self, text: str, state: State, left: int, right: int, exits: list[State], end: bool) -> dict[State, int]:
-        begin, last, count = self.run(text, state, left, right if end else min(len(text), right + self.pieces.longest))
+    def chains(self, text: str, states: list[State], left: int, stop: int) -> Iterator[tuple[State, Chain]]:
+        """What run() gives for each state. Chains that agree on as many places as a piece is long are the same from there on."""
+        far, known = self.pieces.longest, []
+        for state in states:
+            begin = left + state[1]
+            body = text[begin:stop]
+            last, count, at = [state[0], *[None] * len(body)], [0] * (len(body) + 1), 0
+            while at < len(body):
+                at, since = min(len(body), at + 4 * far), at + 1
+                self.pieces.extend(body[:at], last, count, since)
+                own = last[at - far + 1 : at + 1]
+                if at < far or at == len(body):
+                    continue
+                if not any(x is not None for x in own):
+                    break
+                for begin2, last2, count2 in known:
+                    at2 = at + begin - begin2
+                    if at2 - far >= 0 and last2[at2 - far + 1 : at2 + 1] == own:
+                        ahead = {x - y for x, y, p in zip(count[at - far + 1 : at + 1], count2[at2 - far + 1 : at2 + 1], own, strict=True) if p is not None}
+                        if len(ahead) == 1:
+                            more = ahead.pop()
+                            last[at + 1 :], count[at + 1 :] = last2[at2 + 1 :], [x + more for x in count2[at2 + 1 :]]
+                            at = len(body)
+                            break
+            else:
+                if len(known) < 2 * far:
+                    known.append((begin, last, count))
+            yield state, (begin, last, count)
+
+    def _exits(self, chain: Chain, text: str, right: int, exits: list[State], end: bool) -> dict[State, int]:
+        begin, last, count = chain
         row: dict[State, int] = {}
         for piece, over in exits:
             at = right + over - begin
@@ -150,31 +178,21 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def scan(matrices: list[Matrix]) -> list[State]:
-    """The state at each boundary of the best chain through all chunks: first, inner ones, last."""
-    forward = [{MEET: {MEET: 0}}]
+def scan(matrices: list[Matrix], enter: State = MEET, leave: State = MEET) -> list[State]:
+    """The state at each boundary of the best chain through all matrices, from one state to another."""
+    forward = [{enter: {enter: 0}}]
     for m in matrices:
         forward.append(product(forward[-1], m))
-    states = [MEET]
+    states = [leave]
     for k in range(len(matrices) - 1, -1, -1):
-        reach = forward[k][MEET]
+        reach = forward[k][enter]
         states.append(max((s for s in reach if states[-1] in matrices[k].get(s, {})), key=lambda s: reach[s] + matrices[k][s][states[-1]]))
     return states[::-1]
 
 
-def cuts(marked: str, chunk: int, coder: ChunkCoder) -> list[int]:
-    """Chunk borders. In a text with runs of marks, whose merges have equal scores, they move on to the next word start."""
-    out, at, n = [0], chunk, len(marked)
-    runs = MARK * 2 in marked
-    while at < n:
-        while runs and at < n and not coder.starts(marked, at):
-            nxt = marked.find(MARK, at + 1)
-            at = n if nxt < 0 else nxt
-        if at >= n:
-            break
-        out.append(at)
-        at += chunk
-    return [*out, n]
+def cuts(marked: str, chunk: int) -> list[int]:
+    """Chunk borders, at any character."""
+    return [*range(0, max(len(marked), 1), chunk), len(marked)]
 
 
 _CODERS: dict[str, ChunkCoder] = {}
@@ -184,19 +202,31 @@ def _coder(path: str) -> ChunkCoder:
     return _CODERS.get(path) or _CODERS.setdefault(path, ChunkCoder(model(path)))
 
 
+def matrices(coder: ChunkCoder, text: str, edges: list[int], ends: bool) -> list[Matrix]:
+    """The matrix of each chunk between edges. text: the chunks with their context; ends: whether it ends at the last edge."""
+    meets = [e == 0 or coder.starts(text, e) for e in edges[:-1]] + [ends or coder.starts(text, edges[-1])]
+    return [{MEET: {MEET: 0}} if m and n else coder.matrix(text, a, b, ends and b == edges[-1]) for (a, b), (m, n) in zip(itertools.pairwise(edges), itertools.pairwise(meets), strict=True)]
+
+
+def traces(coder: ChunkCoder, text: str, edges: list[int], states: list[State]) -> Iterator[bytes]:
+    """The tokens of each chunk between edges, as little-endian 32-bit ids."""
+    for (a, b), (s, t) in zip(itertools.pairwise(edges), itertools.pairwise(states), strict=True):
+        whole = s == t == MEET and (a == 0 or coder.starts(text, a)) and (b == len(text) or coder.starts(text, b))
+        yield coder.words(text[a:b]) if whole else coder.trace(text, a, b, s, t)
+
+
 def encode_chunks(coder: ChunkCoder, text: str, chunk: int) -> list[bytes]:
     """All steps for one text in this process: matrices, scan, traces."""
     if not text:
         return [b""]
     marked = MARK + text.replace(" ", MARK)
-    edges = cuts(marked, chunk, coder)
-    pairs = list(itertools.pairwise(edges))
-    if all(coder.starts(marked, e) for e in edges[1:-1]):
-        return [coder.words(marked[a:b]) for a, b in pairs]
-    states = scan([coder.matrix(marked, a, b, b == len(marked)) for a, b in pairs])
-    return [coder.trace(marked, a, b, s, t) for (a, b), (s, t) in zip(pairs, itertools.pairwise(states), strict=True)]
+    edges = cuts(marked, chunk)
+    return list(traces(coder, marked, edges, scan(matrices(coder, marked, edges, True))))
 
 
+#: Chunks of a block, which is the part of a text that a task takes at once.
+BLOCK = 16
+
 Batches = Iterator[pa.RecordBatch]
 #: What encode gives, behind the id.
 ENCODED = "text_key long, chunk int, chunks int, ids array<int>"
@@ -235,53 +265,57 @@ class Encoder:
 
     def giants(self, then: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
         path, id_col, chunk = self.path, self.id_col, self.chunk
+        span = chunk * BLOCK
 
         def cut(batches: Batches) -> Batches:
-            """Chunks with what surrounds them, and their matrices."""
+            """Blocks with what surrounds them."""
             coder, at = _coder(path), (TaskContext.get().partitionId() << 40) | 1 << 39
             far = coder.pieces.longest + 1
             for b in batches:
                 for i, text in enumerate(b.column("_text").to_pylist()):
                     marked = MARK + text.replace(" ", MARK)
-                    edges = cuts(marked, chunk, coder)
-                    n = len(edges) - 1
-                    for first in range(0, n, 64):
-                        rows = []
-                        for k in range(first, min(n, first + 64)):
-                            a, e = edges[k], edges[k + 1]
-                            low = max(0, a - far)
-                            part, left, right = marked[low : e + far], a - low, e - low
-                            m = {MEET: {MEET: 0}} if _all_meet(coder, part, left, right, k, n) else coder.matrix(part, left, right, k == n - 1)
-                            rows.append((k, part, left, right, pickle.dumps(m)))
-                        cols = list(zip(*rows, strict=True))
-                        yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array([i] * len(rows))), pa.array([at] * len(rows), pa.int64()), pa.array(cols[0], pa.int32()), pa.array([n] * len(rows), pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=[id_col, "text_key", "chunk", "chunks", "part", "left", "right", "matrix"])
+                    n = len(marked)
+                    for low in range(0, n, span):
+                        begin, high = max(0, low - far), min(n, low + span)
+                        made = ([at], [low // span], [-(-n // span)], [-(-n // chunk)], [marked[begin : high + far]], [low - begin], [high - begin])
+                        yield pa.RecordBatch.from_arrays([b.column("_id").slice(i, 1), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True))], names=[id_col, "text_key", "block", "blocks", "chunks", "part", "left", "right"])
                     at += 1
 
+        def multiply(batches: Batches) -> Batches:
+            """The matrix of each block."""
+            coder = _coder(path)
+            for b in batches:
+                made = []
+                for part, left, right, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "left", "right", "block", "blocks")), strict=True):
+                    made.append(pickle.dumps(functools.reduce(product, matrices(coder, part, [*range(left, right, chunk), right], k == n - 1))))
+                yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("block"), pa.array(made, pa.binary())], names=["text_key", "block", "matrix"])
+
         def solve(batches: Batches) -> Batches:
-            """The matrices of whole texts, in order -> the states around each chunk."""
+            """The matrices of whole texts, in order -> the states around each block."""
             for key, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["text_key"]):
                 states = scan([pickle.loads(r["matrix"]) for r in rows])
                 n = len(states) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([pickle.dumps(x) for x in itertools.pairwise(states)], pa.binary())], names=["text_key", "chunk", "states"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([pickle.dumps(x) for x in itertools.pairwise(states)], pa.binary())], names=["text_key", "block", "states"])
 
         def trace(batches: Batches) -> Batches:
+            """Blocks, and the states around them where a text has several -> the tokens of their chunks."""
             coder = _coder(path)
             for b in batches:
-                ids = []
-                for part, left, right, states, k, n in zip(*(b.column(c).to_pylist() for c in ("part", "left", "right", "states", "chunk", "chunks")), strict=True):
-                    enter, leave = pickle.loads(states)
-                    if _all_meet(coder, part, left, right, k, n):
-                        made = coder.words(part[left:right])
-                    else:
-                        made = coder.trace(part, left, right, enter, leave)
-                    ids.append(np.frombuffer(made, dtype="<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (id_col, "text_key", "chunk", "chunks")), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text_key", "chunk", "chunks", "ids"])
-
-        parts = self.scratch.write(self.frame.filter(self.giant).mapInArrow(cut, f"{self.id_field}, text_key long, chunk int, chunks int, part string, `left` int, `right` int, matrix binary"), "chunks")
-        solved = parts.select("text_key", "chunk", "matrix").repartition("text_key").sortWithinPartitions("text_key", "chunk").mapInArrow(solve, "text_key long, chunk int, states binary")
-        states = self.scratch.write(solved, "states")
+                columns = [b.column(c).to_pylist() for c in ("part", "left", "right", "block", "blocks", "chunks", "states")]
+                for i, (part, left, right, k, n, chunks, around) in enumerate(zip(*columns, strict=True)):
+                    edges = [*range(left, right, chunk), right]
+                    states = scan(matrices(coder, part, edges, k == n - 1), *(pickle.loads(around) if around else (MEET, MEET)))
+                    ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in traces(coder, part, edges, states)]
+                    m, first = len(ids), k * (span // chunk)
+                    yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array([i] * m)), b.column("text_key").take(pa.array([i] * m)), pa.array(range(first, first + m), pa.int32()), pa.array([chunks] * m, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "text_key", "chunk", "chunks", "ids"])
+
+        blocks = self.scratch.write(self.frame.filter(self.giant).mapInArrow(cut, f"{self.id_field}, text_key long, block int, blocks int, chunks int, part string, `left` int, `right` int"), "blocks")
+        several = blocks.filter("blocks > 1")
+        products = several.mapInArrow(multiply, "text_key long, block int, matrix binary")
+        states = self.scratch.write(products.repartition("text_key").sortWithinPartitions("text_key", "block").mapInArrow(solve, "text_key long, block int, states binary"), "states")
         fused = (lambda batches: then(trace(batches))) if then else trace
-        return parts.drop("matrix").join(states, ["text_key", "chunk"]).mapInArrow(fused, schema or f"{self.id_field}, {ENCODED}")
+        known = blocks.filter("blocks = 1").withColumn("states", F.lit(None).cast("binary"))
+        return known.unionByName(several.join(states, ["text_key", "block"])).mapInArrow(fused, schema or f"{self.id_field}, {ENCODED}")
 
 
 def encode(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -303,11 +337,6 @@ def encoder(docs: DataFrame, model_path: str | None = None, chunk: int = 16_384,
     return Encoder(docs, model_path or public_tokenizers.path(MODEL), chunk, id_col, text_col, scratch or Scratch(docs.sparkSession, "pieces"))
 
 
-def _all_meet(coder: ChunkCoder, part: str, left: int, right: int, k: int, n: int) -> bool:
-    """Whether words start at both borders of the chunk."""
-    return (k == 0 or coder.starts(part, left)) and (k == n - 1 or coder.starts(part, right))
-
-
 _BYTES = re.compile("[\udc80-\udcff]")
 
 
@@ -358,28 +387,53 @@ def decode(tokens: DataFrame, model_path: str | None = None) -> DataFrame:
     return tokens.mapInArrow(decoded(model_path or public_tokenizers.path(MODEL)), fields + ", decoded string")
 
 
+def _applied(rows: list[int], x: int) -> int:
+    return functools.reduce(operator.xor, (r for k, r in enumerate(rows) if x >> k & 1), 0)
+
+
+@functools.cache
+def _zeros(k: int) -> list[int]:
+    """What 2 ** k zero bits behind make of each bit of a CRC-32."""
+    if not k:
+        return [0xEDB88320, *(1 << i for i in range(31))]
+    half = _zeros(k - 1)
+    return [_applied(half, r) for r in half]
+
+
+def crc_of_joined(first: int, second: int, size: int) -> int:
+    """CRC-32 of two byte strings put together, from that of each and the length of the second."""
+    for k in range((8 * size).bit_length()):
+        if 8 * size >> k & 1:
+            first = _applied(_zeros(k), first)
+    return first ^ second
+
+
+DIGESTS = "doc_id long, text_key long, chunk int, chunks int, n_tokens long, n_bytes long, ids_crc32 long, text_crc32 long"
+
+
+def whole_digests(batches: Batches) -> Batches:
+    """Digests of chunks, those of a text in order -> those of the text."""
+    for _, rows in itertools.groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["text_key"]):
+        whole = next(rows)
+        for r in rows:
+            whole["ids_crc32"] = crc_of_joined(whole["ids_crc32"], r["ids_crc32"], 4 * r["n_tokens"])
+            whole["text_crc32"] = crc_of_joined(whole["text_crc32"], r["text_crc32"], r["n_bytes"])
+            whole["n_tokens"] += r["n_tokens"]
+            whole["n_bytes"] += r["n_bytes"]
+        yield pa.RecordBatch.from_pylist([whole], schema=pa.schema([(c, pa.int32() if c.startswith("chunk") else pa.int64()) for c in whole]))
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many chunks and tokens, CRC-32 of the ids (little-endian unsigned 32-bit), and that of the decoded text."""
     e = encoder(table(spark, sf_dir, "documents"))
     to_text = decoded(e.path)
 
     def digests(batches: Batches) -> Batches:
-        """Texts of one chunk: their digests."""
         for b in to_text(batches):
             raw = [ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for ids in b.column("ids")]
             text = [t.encode("utf-8", "surrogatepass") for t in b.column("decoded").to_pylist()]
             cols = [[len(r) // 4 for r in raw], [len(t) for t in text], [binascii.crc32(r) for r in raw], [binascii.crc32(t) for t in text]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunks"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "chunks", "n_tokens", "n_bytes", "ids_crc32", "text_crc32"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "chunk", "chunks")), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "text_key", "chunk", "chunks", "n_tokens", "n_bytes", "ids_crc32", "text_crc32"])
 
-    def raws(batches: Batches) -> Batches:
-        """Chunks of giant texts: their bytes."""
-        for b in to_text(batches):
-            raw = [ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for ids in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "text_key", "chunk", "chunks")), pa.array(raw, pa.binary()), b.column("decoded").cast(pa.binary())], names=["doc_id", "text_key", "chunk", "chunks", "raw", "txt"])
-
-    short = e.short(digests, "doc_id long, chunks int, n_tokens long, n_bytes long, ids_crc32 long, text_crc32 long")
-    chunks = e.giants(raws, "doc_id long, text_key long, chunk int, chunks int, raw binary, txt binary")
-    whole = chunks.groupBy("doc_id", "text_key", "chunks").agg(F.array_sort(F.collect_list(F.struct("chunk", "raw", "txt"))).alias("parts"))  # bounded by one text
-    whole = whole.withColumns({c: F.expr(f"aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.{c}))") for c in ("raw", "txt")})
-    giants = whole.select("doc_id", "chunks", (F.octet_length("raw") / 4).cast("long").alias("n_tokens"), F.octet_length("txt").cast("long").alias("n_bytes"), F.crc32("raw").alias("ids_crc32"), F.crc32("txt").alias("text_crc32"))
-    return short.unionByName(giants)
+    giants = e.giants(digests, DIGESTS).repartition("text_key").sortWithinPartitions("text_key", "chunk").mapInArrow(whole_digests, DIGESTS)
+    return e.short(digests, DIGESTS).unionByName(giants).drop("text_key", "chunk")
