@@ -1,15 +1,17 @@
 """Quality rules, line first.
 
 Each line is judged on its own: lines without letters or closing punctuation
-where they have symbols or separators, navigation lines, boilerplate and shouting
-go.  Short lines without closing punctuation go where several follow each other:
+where they have symbols or separators, navigation lines, boilerplate, shouting
+and stuttering go.  Short lines without closing punctuation go where several follow each other:
 those are menus, while a heading stands alone.  What is left is compared with what came: a document that lost too much of
 its text is rejected, as one that fails the base rules is (too few words, too
-many words inside repeated five-word windows).
+many words inside repeated five-word windows).  Notices of rights go too, but are
+no text that a document loses.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -26,12 +28,16 @@ from astrolane.llm.common import table
 WINDOW = 5
 _SYMBOLS = b"#*$%&|<>"
 
-#: Phrases whose lines are boilerplate, in lower case.
-BOILERPLATE = (
+#: Phrases whose lines are notices of rights, in lower case. Such lines go, but are no loss of text.
+NOTICES = (
     "all rights reserved",
     "released under the",
     "licensed under",
     "this work is licensed",
+    "copyright ©",
+)
+#: Phrases whose lines are boilerplate, in lower case.
+BOILERPLATE = (
     "terms of service",
     "terms of use",
     "privacy policy",
@@ -41,8 +47,8 @@ BOILERPLATE = (
     "sign up for our newsletter",
     "click here to",
     "powered by",
-    "copyright ©",
 )
+_NOTICES = re.compile("|".join(map(re.escape, NOTICES)))
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _SEPARATORS = re.compile(r"[|»›•·]|(?:^| )[>/](?= |$)")
 _CLOSES = tuple(".!?…:;,\"'”’»)]")
@@ -59,13 +65,16 @@ class Rules:
     #: a line of so many symbols to a word or more, or of so many shouted words, fails
     symbol_ratio: float = 0.3
     shout_ratio: float = 0.8
+    #: a line of so many words or more of which such a share says the word before again fails
+    stutter_words: int = 6
+    stutter_ratio: float = 0.4
     #: a line of so many words or more fails if it has no lower-case letter
     shout_words: int = 4
     #: lines of so many words or fewer that close with no punctuation fail where so many or more follow each other
     menu_words: int = 3
     menu_lines: int = 5
-    #: a document must keep more than this share of its words
-    min_kept: float = 0.25
+    #: a document must keep more than this share of its words, notices of rights apart
+    min_kept: float = 0.5
 
 
 def count_repeated(words: list[bytes], window: int = WINDOW) -> int:
@@ -107,7 +116,7 @@ def line_fails(line: str, n_words: int, rules: Rules) -> bool:
     if symbols > rules.symbol_ratio * n_words:
         return True
     low = line.lower()
-    if _BOILERPLATE.search(low):
+    if _BOILERPLATE.search(low) or _NOTICES.search(low):
         return True
     if len(_SEPARATORS.findall(line)) >= max(2, rules.separator_ratio * n_words):
         return True
@@ -131,7 +140,7 @@ def judge(text: str | None, rules: Rules) -> tuple:
     n = len(words)
     chars = len(text) - (len(raw) - sum(map(len, words)))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    seen, dup, left, good = set(), 0, 0, []
+    seen, dup, left, notices, good = set(), 0, 0, 0, []
     items = []  # of the menu lines that follow each other: the place in good, or None if not there, and the words
 
     def end_menu() -> int:
@@ -143,14 +152,18 @@ def judge(text: str | None, rules: Rules) -> tuple:
         return sum(k for _, k in gone)
 
     for line in text.split("\n"):
-        count = len(line.encode("utf-8", "surrogatepass").split())
+        own = line.encode("utf-8", "surrogatepass").split()
+        count = len(own)
         if not count:
             good.append(line)
             continue
         if line in seen:
             dup += 1
         seen.add(line)
-        fails, item = line_fails(line, count, rules), is_item(line, count, rules)
+        stutters = count >= rules.stutter_words and sum(map(operator.eq, own, own[1:])) >= rules.stutter_ratio * count
+        fails, item = stutters or line_fails(line, count, rules), is_item(line, count, rules)
+        if fails and _NOTICES.search(line.lower()):
+            notices += count
         if not item:
             left -= end_menu()
         else:
@@ -161,7 +174,7 @@ def judge(text: str | None, rules: Rules) -> tuple:
     left -= end_menu()
     repeat = count_repeated(words)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_pct * n
-    kept = not failed and left > rules.min_kept * n
+    kept = not failed and left > rules.min_kept * (n - notices)
     return n, chars, symbols, dup, repeat, failed, kept, left, "\n".join(x for x in good if x is not None)
 
 
