@@ -12,6 +12,7 @@ complete normalised contents; hashes only choose buckets and slots.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -112,7 +113,7 @@ def spill(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
 
 def bucket_of(records: DataFrame, fit_bytes: int, least: int) -> tuple[Column, int]:
-    """The bucket of each record, and about how many there are.
+    """The bucket of each record, and how many tasks they are for.
 
     The first level has so many buckets that an even share fits; those that are
     larger all the same, and hold more than one hash, are split by the next level.
@@ -120,22 +121,23 @@ def bucket_of(records: DataFrame, fit_bytes: int, least: int) -> tuple[Column, i
     """
     total = records.agg(F.coalesce(F.sum("_bytes"), F.lit(0)).alias("b")).first()["b"]
     fan = max(least, -(-total // fit_bytes))
-    leaf, count, level = F.pmod(F.col("_h"), F.lit(fan)).cast("string"), fan, 0
-    while level < 8:
+    leaf, level = F.pmod(F.col("_h"), F.lit(fan)).cast("string"), 0
+    while True:  # each level splits a bucket of several hashes further
         large = [r["leaf"] for r in records.groupBy(leaf.alias("leaf")).agg(F.sum("_bytes").alias("b"), F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter((F.col("b") > 2 * fit_bytes) & (F.col("lo") < F.col("hi"))).select("leaf").collect()]
         if not large:
             break
         level += 1
         leaf = F.when(leaf.isin(large), F.concat_ws("/", leaf, F.pmod(F.xxhash64("_h", F.lit(level)), F.lit(16)).cast("string"))).otherwise(leaf)
-        count += 16 * len(large)
-    return leaf, count
+    # a task takes bucket after bucket, so it may have several
+    return leaf, max(least, -(-total // (4 * fit_bytes)))
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of whole buckets -> for each record the group it belongs to."""
-    found, least, owner, size, gids, entries = OpenTable(), [], [], [], [], []
-    for b in batches:
-        for gid, h, text, low, n in zip(*(b.column(c).to_pylist() for c in ("_gid", "_h", "_text", "_min", "_n")), strict=True):
+    """Records of whole buckets, one bucket after the other -> for each record the group it belongs to."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_leaf", "_gid", "_h", "_text", "_min", "_n")), strict=True))
+    for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+        found, least, owner, size, gids, entries = OpenTable(), [], [], [], [], []
+        for _, gid, h, text, low, n in own:
             entry, new = found.find(normalise(text), h & 0xFFFFFFFFFFFFFFFF)
             if new:
                 least.append(low)
@@ -146,18 +148,19 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size[entry] += n
             gids.append(gid)
             entries.append(entry)
-    sha = [hashlib.sha256(k).hexdigest() for k in found.keys]
-    for at in range(0, len(gids), 10_000):
-        e = entries[at : at + 10_000]
-        g = gids[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([least[x] for x in e], pa.int64()), pa.array([size[x] for x in e], pa.int64()), pa.array([owner[x] == y for x, y in zip(e, g, strict=True)]), pa.array([sha[x] for x in e])], names=["_gid", "keep_id", "group_size", "_owner", "text_sha256"])
+        sha = [hashlib.sha256(k).hexdigest() for k in found.keys]
+        for at in range(0, len(gids), 10_000):
+            e = entries[at : at + 10_000]
+            g = gids[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([least[x] for x in e], pa.int64()), pa.array([size[x] for x in e], pa.int64()), pa.array([owner[x] == y for x, y in zip(e, g, strict=True)]), pa.array([sha[x] for x in e])], names=["_gid", "keep_id", "group_size", "_owner", "text_sha256"])
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of whole buckets -> the row that stays of each group."""
-    found, best, rows = OpenTable(), [], []
-    for b in batches:
-        for i, (gid, h, text, low) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_gid", "_h", "_text", "_min")), strict=True)):
+    """Records of whole buckets, one bucket after the other -> the row that stays of each group."""
+    every = ((b, i, *r) for b in batches for i, r in enumerate(zip(*(b.column(c).to_pylist() for c in ("_leaf", "_gid", "_h", "_text", "_min")), strict=True)))
+    for _, own in itertools.groupby(every, key=lambda r: r[2]):
+        found, best, rows = OpenTable(), [], []
+        for b, i, _, gid, h, text, low in own:
             entry, new = found.find(normalise(text), h & 0xFFFFFFFFFFFFFFFF)
             rank = (_key(low), gid)
             if new:
@@ -165,9 +168,9 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(b.column("_row").slice(i, 1))
             elif rank < best[entry]:
                 best[entry], rows[entry] = rank, b.column("_row").slice(i, 1)
-    for at in range(0, len(rows), 2000):
-        whole = pa.concat_arrays(rows[at : at + 2000])
-        yield pa.RecordBatch.from_arrays([whole], names=["_row"])
+        for at in range(0, len(rows), 2000):
+            whole = pa.concat_arrays(rows[at : at + 2000])
+            yield pa.RecordBatch.from_arrays([whole], names=["_row"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_bytes: int = 48 << 20, scratch: Scratch | None = None) -> DataFrame:
@@ -184,7 +187,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     records = spill(docs, scratch, id_col, text_col)
     leaf, count = bucket_of(records, fit_bytes, shuffle_partitions(spark))
     thin = records.select("_gid", "_h", "_text", "_min", F.size("_members").cast("long").alias("_n"), leaf.alias("_leaf"))
-    decided = thin.repartition(count, "_leaf").drop("_leaf").mapInArrow(_decide, "_gid long, keep_id long, group_size long, _owner boolean, text_sha256 string")
+    decided = thin.repartition(count, "_leaf").sortWithinPartitions("_leaf").mapInArrow(_decide, "_gid long, keep_id long, group_size long, _owner boolean, text_sha256 string")
     each = records.select("_gid", "_members").join(decided, "_gid").select(F.posexplode("_members").alias("_nth", id_col), "keep_id", "group_size", "_owner", "text_sha256")
     return each.select(id_col, "keep_id", "group_size", (F.col("_owner") & (F.col("_nth") == 0)).alias("kept"), "text_sha256")
 
@@ -195,7 +198,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(spark, "dedup")
     records = spill(docs, scratch, id_col, text_col, carry=True)
     leaf, count = bucket_of(records, fit_bytes, shuffle_partitions(spark))
-    whole = records.select("_row", "_gid", "_h", "_text", "_min", leaf.alias("_leaf")).repartition(count, "_leaf").drop("_leaf")
+    whole = records.select("_row", "_gid", "_h", "_text", "_min", leaf.alias("_leaf")).repartition(count, "_leaf").sortWithinPartitions("_leaf")
     return whole.mapInArrow(_keep, T.StructType([records.schema["_row"]])).select("_row.*")
 
 
