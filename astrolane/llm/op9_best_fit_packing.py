@@ -169,12 +169,12 @@ def rounds(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, model_path: str | None = None, ranks: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, model_path: str | None = None, ranks: str | None = None, rows_per_cell: int = 100_000, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece.
 
     Every sequence is filled without gaps from offset 0 and holds capacity tokens
-    at most.  ranks: the model's vocabulary as a rank file, if there is one.  end_id: appended to each document, or None.  buckets: cells in which
-    a length class is ranked; take more of them with more rows.  Null text is
+    at most.  ranks: the model's vocabulary as a rank file, if there is one.  end_id: appended to each document, or None.  rows_per_cell: about
+    so many pieces of a length class are ranked at once.  Null text is
     empty and gives the one piece of the end id; repeated rows are packed each;
     an empty table gives no rows; other columns of any name are ignored.
     """
@@ -183,21 +183,28 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int | None = 2, model_pa
     if model_path is None:
         model_path, ranks = public_tokenizers.path(MODEL), public_tokenizers.path(RANKS)
     pieces = scratch.write(token_pieces(docs, capacity, end_id, model_path, ranks, id_col, text_col), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")
-    # capacity x buckets numbers at most, whatever the corpus holds
-    cells = pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    grid = np.zeros((capacity + 1, buckets), dtype=np.int64)
-    grid[cells["length"], cells["bucket"]] = cells["n"]
-    first = np.cumsum(grid, axis=1) - grid
-    runs = np.array(sorted(rounds(grid.sum(axis=1), capacity)), dtype=np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast((first, runs))
+    counts = np.zeros(capacity + 1, dtype=np.int64)  # of pieces by length
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["length"]] = r["n"]
+    runs = np.array(sorted(rounds(counts, capacity)), dtype=np.int64).reshape(-1, 5)
+    # a length class has cells by its size: capacity + 1 and one for rows_per_cell pieces, all in all
+    buckets = np.maximum(1, -(-counts // rows_per_cell))
+    place_of = np.cumsum(buckets) - buckets
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.array(*map(F.lit, buckets.tolist())), F.col("length").cast("int") + 1)).cast("int").alias("bucket")
+    grid = np.zeros(int(buckets.sum()), dtype=np.int64)
+    if buckets.max() > 1:
+        cells = pieces.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")).toPandas()
+        grid[place_of[cells["length"]] + cells["bucket"]] = cells["n"]
+    before = np.cumsum(grid) - grid
+    first = before - np.repeat(before[place_of], buckets)
+    shared = spark.sparkContext.broadcast((place_of, first, runs))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, runs = shared.value
+        place_of, first, runs = shared.value
         keys = (runs[:, 0] << 44) + runs[:, 1]
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = first[length, b.column("bucket").to_numpy()] + b.column("nth").to_numpy() - 1
+            rank = first[place_of[length] + b.column("bucket").to_numpy()] + b.column("nth").to_numpy() - 1
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             made = [pa.array(runs[at, 3] + rank - runs[at, 1]), pa.array(runs[at, 4])]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *made], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
