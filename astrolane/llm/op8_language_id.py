@@ -15,9 +15,8 @@ the recursion is one array operation over all words of a length.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ from astrolane.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Words of so many characters or more are scored alone, with rescaling. In training they are first cut where no piece can cross.
 LONG = 40
 
@@ -220,7 +218,7 @@ class Scorer:
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and its posterior; und and 0 where there is no letter."""
-        parts = [words_of(t) if t and _LETTER.search(t) else None for t in texts]
+        parts = [words_of(t) if t and any(map(str.isalpha, t)) else None for t in texts]
         row = self.row
         new = list({w for own in parts if own for w in own if w not in row})
         if len(row) + len(new) > self.cache:
@@ -262,8 +260,15 @@ def fit(docs: DataFrame, per_lang: int = 500, model_path: str | None = None, tex
         return Model([], np.zeros((vocabulary.size + 1, 0)), np.zeros(0))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))))
     drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    words = drawn.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
-    counts = {(r[0], MARK + r[1]): r[2] for r in words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toPandas().itertuples(index=False, name=None)}
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each text as classify() takes them, counted in each batch."""
+        for b in batches:
+            seen = Counter((lang, w) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) for w in words_of(t))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
+
+    counted = drawn.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = {(r[0], r[1]): r[2] for r in counted.toPandas().itertuples(index=False, name=None)}
     return learn(counts, sizes, vocabulary)
 
 
