@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. On a cluster it has to be set; a local run gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="astrolane-")
         spark.sparkContext.setCheckpointDir(base)

@@ -52,12 +52,12 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 24, rows_per_cell: int = 100_000, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Every row with its shard and its gapless slot there.
 
     shards: how many there are; ``grown_shard`` tells where a row goes with one
-    more.  buckets: cells that a shard is numbered in; each is sorted on its own,
-    so take more of them with more rows.  Null text counts as empty, a null id
+    more.  rows_per_cell: about so many rows of a shard are numbered at once; their
+    cells, a row for each in a broadcast table, grow with the rows.  Null text counts as empty, a null id
     takes a fixed key; rows with equal ids share a shard and get different slots;
     an empty table gives no rows; other columns of any name are ignored.
     """
@@ -69,6 +69,8 @@ def shard_rows(docs: DataFrame, shards: int = 24, buckets: int = 256, id_col: st
         F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"),
     )
 
+    buckets = max(1, -(-docs.count() // (shards * rows_per_cell)))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
@@ -78,13 +80,13 @@ def shard_rows(docs: DataFrame, shards: int = 24, buckets: int = 256, id_col: st
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=["doc_id", "size", "text_crc32", "shard", "grown_shard", "bucket"])
 
     placed = scratch.write(thin.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int, grown_shard int, bucket int"), "placed")
-    # at most (shards x buckets) rows, whatever the size of the table
+    # a row for rows_per_cell rows of the table
     cells = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = placed.withColumn("nth", F.row_number().over(within))
-    return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
+    return numbered.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

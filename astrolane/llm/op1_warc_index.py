@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolane.llm.common import Scratch, table
+from astrolane.llm.common import Scratch, shuffle_partitions, table
 
 #: Payloads of fewer bytes are never revisited.
 LEAST_SHARED = 100
@@ -270,7 +270,8 @@ def read_records(places: DataFrame, scratch: Scratch, with_payload: bool = False
                 yield pa.RecordBatch.from_arrays([pa.array([g[f] for g in got], t) for _, t, f in cols], names=[n for n, _, _ in cols])
 
     stretch = places.withColumn("part", F.floor(F.col("offset") / (4 << 20)))
-    return stretch.repartition("file", "part").sortWithinPartitions("file", "offset").drop("part").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    # a number of its own: the pointers are small, what they point at isn't
+    return stretch.repartition(shuffle_partitions(places.sparkSession), "file", "part").sortWithinPartitions("file", "offset").drop("part").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
