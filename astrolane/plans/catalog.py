@@ -8,6 +8,7 @@ to six decimals and NaN becomes null, so that results compare across engines.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from astrolane.functions import geodesy, scaling, tabular, timescale, units
 from astrolane.functions import spectral as sp
@@ -16,6 +17,7 @@ from astrolane.functions.projections import CODES, projection
 from astrolane.operators import celestial
 from astrolane.operators.checksum import fold
 from astrolane.operators.wcs import Tab, Wcs, compose_ltm
+from astrolane.plans.frames import FRAMES
 from astrolane.stages import Flow, horner, num, when, wrap180, wrap360
 
 KEYS = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}
@@ -419,7 +421,7 @@ def _all() -> dict[str, Flow]:
 
 
 def queries() -> dict:
-    return {n: f.frame for n, f in _all().items()}
+    return {n: partial(FRAMES[n], f) if n in FRAMES else f.frame for n, f in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -90,8 +90,15 @@ def horner(x: str, coeffs: list[float]) -> str:
     return out
 
 
+def compiled(spark: SparkSession) -> None:
+    """Generated methods of more than 8000 bytes stay bytecode: the JVM never compiles them. Long chains of stages are then run projection by projection, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def apply(df: DataFrame, stages: Stages, drop: bool = True) -> DataFrame:
     """df with the columns of the stages; those whose names start with _ are dropped at the end."""
+    compiled(df.sparkSession)
     for s in stages:
         df = df.withColumns({n: F.expr(doubles(e)) for n, e in s.items()})
     return df.drop(*{n for s in stages for n in s if n.startswith("_")}) if drop else df
@@ -133,7 +140,12 @@ class Flow:
         return self._with("union", other)
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        return self.on(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"), sf_dir)
+
+    def on(self, df: DataFrame, sf_dir: str = "") -> DataFrame:
+        """The steps over a frame; sf_dir: where the tables that it joins are."""
+        spark = df.sparkSession
+        compiled(spark)
         for kind, *x in self.steps:
             if kind == "let":
                 df = df.withColumns({n: F.expr(doubles(e)) for n, e in x[0].items()})
