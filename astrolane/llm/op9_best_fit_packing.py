@@ -105,10 +105,9 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int | None, model_path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CODERS.get(model_path) or _CODERS.setdefault(model_path, ByteCoder(model_path, ranks))
         for b in batches:
-            ids, texts = b.column("_id").to_pylist(), b.column("_text").to_pylist()
-            for low in range(0, len(ids), 500):
-                rows = []
-                for i, text in zip(ids[low : low + 500], texts[low : low + 500], strict=True):
+            for low in range(0, b.num_rows, 500):  # texts of a slice only are Python's at a time
+                some, rows = b.slice(low, 500), []
+                for i, text in zip(some.column("_id").to_pylist(), some.column("_text").to_pylist(), strict=True):
                     raw = coder.ids(text) + tail
                     rows += [(i, k, at, n, binascii.crc32(raw[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(raw) // 4, capacity))]
                 cols = list(zip(*rows, strict=True))
