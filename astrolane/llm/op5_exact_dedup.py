@@ -74,8 +74,8 @@ def _key(doc_id: int | None) -> tuple[bool, int]:
     return (doc_id is None, doc_id or 0)
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, id, text -> a record for each different text of a batch."""
+def _collapse(batches: Iterator[pa.RecordBatch], carry: bool) -> Iterator[pa.RecordBatch]:
+    """row, id, text -> a record for each different text of a batch. carry: the row holds the text, which is then not kept beside it."""
     made = TaskContext.get().partitionId() << 40
     for b in batches:
         if not b.num_rows:
@@ -97,19 +97,20 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.sort(key=lambda i: _key(ids[i]))
             first[entry] = own[0]
         n = len(first)
+        kept = ["_row"] if carry else ["_row", "_text"]
         yield pa.RecordBatch.from_arrays(
-            [b.column("_row").take(pa.array(first)), b.column("_text").take(pa.array(first)), pa.array(range(made, made + n), pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array([ids[i] for i in first], pa.int64()), pa.array([[ids[i] for i in own] for own in members], pa.list_(pa.int64()))],
-            names=["_row", "_text", "_gid", "_h", "_bytes", "_min", "_members"],
+            [*(b.column(c).take(pa.array(first)) for c in kept), pa.array(range(made, made + n), pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array([ids[i] for i in first], pa.int64()), pa.array([[ids[i] for i in own] for own in members], pa.list_(pa.int64()))],
+            names=[*kept, "_gid", "_h", "_bytes", "_min", "_members"],
         )
         made += n
 
 
 def spill(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """The collapsed records as spill files. carry: with their first member's whole row."""
+    """The collapsed records as spill files. carry: with their first member's whole row, and the text in that only."""
     row = F.struct("*") if carry else F.struct(F.lit(0).alias("x"))
     frame = docs.select(row.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([frame.schema["_row"], frame.schema["_text"], *(T.StructField(c, T.LongType()) for c in ("_gid", "_h", "_bytes", "_min")), T.StructField("_members", T.ArrayType(T.LongType()))])
-    return scratch.write(frame.mapInArrow(_collapse, schema), "spill")
+    schema = T.StructType([frame.schema["_row"], *([] if carry else [frame.schema["_text"]]), *(T.StructField(c, T.LongType()) for c in ("_gid", "_h", "_bytes", "_min")), T.StructField("_members", T.ArrayType(T.LongType()))])
+    return scratch.write(frame.mapInArrow(lambda batches: _collapse(batches, carry), schema), "spill")
 
 
 def bucket_of(records: DataFrame, fit_bytes: int, least: int) -> tuple[Column, int]:
@@ -198,7 +199,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(spark, "dedup")
     records = spill(docs, scratch, id_col, text_col, carry=True)
     leaf, count = bucket_of(records, fit_bytes, shuffle_partitions(spark))
-    whole = records.select("_row", "_gid", "_h", "_text", "_min", leaf.alias("_leaf")).repartition(count, "_leaf").sortWithinPartitions("_leaf")
+    whole = records.select("_row", "_gid", "_h", "_min", leaf.alias("_leaf")).repartition(count, "_leaf").sortWithinPartitions("_leaf").withColumn("_text", F.col("_row").getField(text_col).cast("string"))
     return whole.mapInArrow(_keep, T.StructType([records.schema["_row"]])).select("_row.*")
 
 
