@@ -193,9 +193,9 @@ def quality(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", wit
     fields += [T.StructField("clean_text", T.StringType())] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = list(zip(*(judge(t, rules) for t in b.column("_text").to_pylist()), strict=True)) or [[]] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.string()]
+        for b in (whole.slice(low, 1000) for whole in batches for low in range(0, whole.num_rows, 1000)):
+            cols = list(zip(*(judge(t, rules) for t in b.column("_text").to_pylist()), strict=True))
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 8 + with_text]
             yield pa.RecordBatch.from_arrays([b.column("row"), *made], names=[f.name for f in fields])
 
