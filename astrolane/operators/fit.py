@@ -46,8 +46,8 @@ def _qr(df: DataFrame, columns: list[str]) -> np.ndarray:
     return np.linalg.qr(few.toPandas()[columns].to_numpy(dtype=float), mode="r")
 
 
-def fit_wcs(df: DataFrame, px: str, py: str, lon: str, lat: str, code: str = "TAN", crval: tuple[float, float] | None = None, crpix: tuple[float, float] | None = None, sip_order: int = 0, frame: str = "equatorial", origin: int = 0) -> WcsFit:
-    """The description that maps pixels to positions best. crpix (1-based) pins the reference pixel; sip_order 2 to 9 adds polynomials.
+def fit_wcs(df: DataFrame, px: str, py: str, lon: str, lat: str, code: str = "TAN", crval: tuple[float, float] | None = None, crpix: tuple[float, float] | None = None, sip_order: int = 0, frame: str = "equatorial", origin: int = 0, sip_inverse: bool = True) -> WcsFit:
+    """The description that maps pixels to positions best. crpix (1-based) pins the reference pixel; sip_order 2 to 9 adds polynomials, with sip_inverse also those of the way back.
 
     Three rows are needed, two with crpix.
     """
@@ -77,7 +77,7 @@ def fit_wcs(df: DataFrame, px: str, py: str, lon: str, lat: str, code: str = "TA
         crpix = (cx + off[0] + 1, cy + off[1] + 1)
     sip = None
     if sip_order >= 2:
-        sip, cd = _fit_sip(plane, crpix, sip_order)
+        sip, cd = _fit_sip(plane, crpix, sip_order, sip_inverse)
     prefix = {"equatorial": ("RA--", "DEC-"), "galactic": ("GLON", "GLAT"), "ecliptic": ("ELON", "ELAT")}[frame]
     tail = "-SIP" if sip else ""
     wcs = Wcs((f"{prefix[0]}-{code}{tail}", f"{prefix[1]}-{code}{tail}"), tuple(map(float, crpix)), tuple(map(float, crval)), tuple(tuple(map(float, r)) for r in cd), ("deg", "deg"), sip=sip)
@@ -87,8 +87,8 @@ def fit_wcs(df: DataFrame, px: str, py: str, lon: str, lat: str, code: str = "TA
     return WcsFit(wcs, n, r["rms"], r["top"])
 
 
-def _fit_sip(plane: DataFrame, crpix: tuple[float, float], order: int):
-    """Linear and polynomial terms together; the polynomials are then taken behind the matrix."""
+def _fit_sip(plane: DataFrame, crpix: tuple[float, float], order: int, inverse: bool):
+    """Linear and polynomial terms together; the polynomials are then taken behind the matrix. inverse: what leads back is fitted to the plane behind the inverse matrix."""
     top = plane.agg(F.max(F.abs(F.col("x") - (crpix[0] - 1))).alias("x"), F.max(F.abs(F.col("y") - (crpix[1] - 1))).alias("y")).first()
     k = max(top["x"], top["y"], 1.0)
     powers = [(1, 0), (0, 1)] + [(p, t - p) for t in range(2, order + 1) for p in range(t, -1, -1)]
@@ -101,7 +101,14 @@ def _fit_sip(plane: DataFrame, crpix: tuple[float, float], order: int):
     cd = (coef[:2] / k).T
     rest = np.linalg.solve(cd, coef[2:].T)
     scale = [k ** (p + q) for p, q in powers[2:]]
-    return Sip(*({pq: float(c / s) for pq, c, s in zip(powers[2:], row, scale, strict=True)} for row in rest)), cd.tolist()
+    named = lambda rows: [{pq: float(c / s) for pq, c, s in zip(powers[2:], row, scale, strict=True)} for row in rows]
+    if not inverse:
+        return Sip(*named(rest)), cd.tolist()
+    back = np.linalg.inv(cd) / k
+    ideal = scaled.select("u", "v", *((F.lit(float(p)) * F.col("xi") + F.lit(float(q)) * F.col("eta")).alias(n) for n, (p, q) in zip(("iu", "iv"), back, strict=True)))
+    tall = ideal.select(*(F.expr(" * ".join(["1.0D", *["iu"] * p, *["iv"] * q])).alias(n) for n, (p, q) in zip(names[2:], powers[2:], strict=True)), (F.col("u") - F.col("iu")).alias("du"), (F.col("v") - F.col("iv")).alias("dv"))
+    r, m = _qr(tall, [*names[2:], "du", "dv"]), m - 2
+    return Sip(*named(rest), *named(k * np.linalg.lstsq(r[:, :m], r[:, m:], rcond=None)[0].T)), cd.tolist()
 
 
 def residual_offsets(wcs: Wcs, df: DataFrame, px: str, py: str, lon: str, lat: str) -> DataFrame:

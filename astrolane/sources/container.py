@@ -57,6 +57,14 @@ def _real(text: str) -> float:
         raise FormatError(f"no value: {text!r}") from None
 
 
+def legal(key: str) -> str:
+    """A keyword in upper case; eight of A-Z, 0-9, - and _ at most, or printable words for a HIERARCH card."""
+    key = key.upper()
+    if not re.fullmatch(r"[A-Z0-9_-]{1,8}|[!-<>-~]+( [!-<>-~]+)+|HIERARCH [ -<>-~]+", key):
+        raise FormatError(f"no keyword: {key!r}")
+    return key.removeprefix("HIERARCH ")
+
+
 def parse_card(raw: str, lenient: bool = True) -> Card:
     if raw.startswith("HIERARCH ") and "=" in raw:
         key, _, rest = raw[9:].partition("=")
@@ -149,10 +157,36 @@ class Header:
         self.cards = [c for c in self.cards if c.keyword != key.upper() or c.kind == "commentary"]
         return len(self.cards) < n
 
-    def rename(self, old: str, new: str) -> None:
-        for c in self.cards:
-            if c.keyword == old.upper():
-                c.keyword = new.upper()
+    def insert(self, at: int, key: str, value, comment: str | None = None) -> None:
+        """A new card at a place, whatever cards of that keyword there are; behind the last one it is appended."""
+        self.cards.insert(min(max(at, 0), len(self.cards)), Card(legal(key), value, comment or ""))
+
+    def _place(self, key: str) -> int | None:
+        return next((i for i, c in enumerate(self.cards) if c.keyword == key.upper() and c.kind != "commentary"), None)
+
+    def set_before(self, before: str, key: str, value, comment: str | None = None) -> bool:
+        """A new card in front of the first one of a keyword; at the end, and False, where there is none."""
+        at = self._place(before)
+        self.insert(len(self.cards) if at is None else at, key, value, comment)
+        return at is not None
+
+    def set_after(self, after: str, key: str, value, comment: str | None = None) -> bool:
+        """A new card behind the first one of a keyword; at the end, and False, where there is none."""
+        at = self._place(after)
+        self.insert(len(self.cards) if at is None else at + 1, key, value, comment)
+        return at is not None
+
+    def push_commentary(self, key: str, text: str) -> None:
+        if key not in COMMENTARY:
+            raise FormatError(f"{key!r} takes no commentary")
+        self.cards.append(Card(key, text, "", "commentary"))
+
+    def rename(self, old: str, new: str) -> int:
+        """How many cards with values were renamed; commentary stays."""
+        found = [c for c in self.cards if c.keyword == old.upper() and c.kind != "commentary"]
+        for c in found:
+            c.keyword = legal(new)
+        return len(found)
 
     def values(self) -> dict:
         out: dict = {}
