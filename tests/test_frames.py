@@ -32,3 +32,15 @@ def test_falls(spark):
 def test_first_with_total(spark):
     got = first_with_total(spark.range(100).select(F.col("id").alias("k")), "k", 3).collect()
     assert [(r["k"], r["total"]) for r in got] == [(0, 100), (1, 100), (2, 100)]
+
+
+def test_prefix_join_rounds_as_its_sql(spark, tmp_path):
+    """Pairs of price and value as DuckDB gives them for the SQL, all with the prefix u but for the last three."""
+    u = [(954.5, 0.000955), (979.5, 0.000979), (984.5, 0.000984), (989.5, 0.000989), (992.5, 0.000992), (997.5, 0.000997), (-989.5, -0.000989), (0.5, 0.000001), (-0.25, 0.0), (None, None), (float("nan"), None), (float("-inf"), float("-inf"))]
+    other = [(0, 1234.5675, 1234567.5), (1, 1.7e300, 1.7e306), (2, 0.0125, 0.000013)]
+    rows = [(k, 3, p) for k, (p, _) in enumerate(u)] + [(len(u) + k, size, p) for k, (size, p, _) in enumerate(other)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6).selectExpr("cast(id as int) as n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    got = catalog.queries()["prefix_join"](spark, str(tmp_path)).orderBy("p_partkey").collect()
+    assert [r["p_partkey"] for r in got] == list(range(len(rows)))
+    assert [str(r["v"]) for r in got] == [str(v) for v in [v for _, v in u] + [v for *_, v in other]]
