@@ -47,4 +47,17 @@ def prefix_join(flow: Flow, spark: SparkSession, sf_dir: str) -> DataFrame:
     return Flow(flow.table, flow.steps[:-1]).select(p_partkey="p_partkey", v=_rounded("p_retailprice * f", 6)).frame(spark, sf_dir)
 
 
-FRAMES = {f.__name__: f for f in (leap_asof, first_n_with_total, monotone_check, proj_mol_s2x, prefix_join)}
+def _atan2(y: str, x: str) -> str:
+    """The nearest double next to the y axis, where Java's atan2 can be off in the last place; of the series in x / y, what follows the first term is below 1e-24 there."""
+    near = f"sign({y}) * {num(math.pi / 2)} + (sign({y}) * {num(6.123233995736766e-17)} - {x} / {y})"
+    return f"case when abs({x}) < 1e-8 * abs({y}) then {near} else atan2({y}, {x}) end"
+
+
+def celestial_to_native_latpole(flow: Flow, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LONPOLE is 90, so the y axis is where longitudes turn from 180 to -180, and the last place of the angle says which of them a position on it has."""
+    at = next(k for k, (kind, x, *_) in enumerate(flow.steps) if kind == "let" and "_rl" in x)
+    turned = {n: e.replace("atan2(_uy, _ux)", _atan2("_uy", "_ux")) for n, e in flow.steps[at][1].items()}
+    return Flow(flow.table, (*flow.steps[:at], ("let", turned), *flow.steps[at + 1 :])).frame(spark, sf_dir)
+
+
+FRAMES = {f.__name__: f for f in (leap_asof, first_n_with_total, monotone_check, proj_mol_s2x, prefix_join, celestial_to_native_latpole)}

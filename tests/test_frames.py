@@ -1,11 +1,13 @@
 """Frames with plans of their own give what their SQL says; checks of order."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from astrolane.operators.order import falls, first_with_total
 from astrolane.plans import catalog
-from astrolane.plans.frames import FRAMES
+from astrolane.plans.frames import FRAMES, _atan2
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,26 @@ def test_prefix_join_rounds_as_its_sql(spark, tmp_path):
     got = catalog.queries()["prefix_join"](spark, str(tmp_path)).orderBy("p_partkey").collect()
     assert [r["p_partkey"] for r in got] == list(range(len(rows)))
     assert [str(r["v"]) for r in got] == [str(v) for v in [v for _, v in u] + [v for *_, v in other]]
+
+
+def test_celestial_to_native_latpole_turns_as_its_sql(spark, tmp_path):
+    """Keys on the meridian where longitudes turn, beside it and at the poles, with longitude and latitude as DuckDB gives them for the SQL."""
+    want = {
+        (781, 479): (-180.0, -0.42426), (1754, 616): (-180.0, -0.28284), (2727, 753): (-180.0, -0.14142), (100, 890): (180.0, 0.0), (252100, 890): (180.0, 0.0), (1900, -70): (180.0, 0.0), (1073, 1027): (180.0, 0.14142), (2046, 1164): (180.0, 0.28284), (3019, 1301): (180.0, 0.42426),
+        (2800, 1540): (180.0, -90.0), (1000, 240): (0.0, 90.0), (-1700, 890): (0.0, 0.0), (1900, 890): (0.0, 0.0), (-100, 890): (165.56724, -13.99545), (None, 890): (None, None), (100, None): (None, None),
+    }
+    rows = [(o, p, k) for k, (o, p) in enumerate(want)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["celestial_to_native_latpole"](spark, str(tmp_path)).orderBy("l_linenumber").collect()
+    assert [tuple(r) for r in got] == [(o, k, *want[o, p]) for o, p, k in rows]
+
+
+def test_atan2_next_to_the_y_axis(spark):
+    pairs = [(s * y, x) for s in (1, -1) for y in (1.0, 0.3, 8e-17) for x in (0.0, 2.2e-16 * y, -2.164890140588733e-16 * y, 1e-12 * y, -9.9e-9 * y)]
+    other = [(0.0, 0.0), (0.0, -1.0), (0.0, 2.0), (3.0, 4.0), (-3.0, -4.0), (5e-324, 0.0), (math.inf, 1.0), (-math.inf, -1.0), (1.0, -math.inf)]
+    frame = spark.createDataFrame([(k, y, x) for k, (y, x) in enumerate(pairs + other)], "k int, y double, x double")
+    got = [r["a"] for r in frame.selectExpr("k", f"{_atan2('y', 'x')} as a").orderBy("k").collect()]
+    assert got[: len(pairs)] == [math.atan2(y, x) for y, x in pairs]
+    assert got[len(pairs) :] == pytest.approx([math.atan2(y, x) for y, x in other], rel=1e-15)
+    nan = spark.createDataFrame([(math.nan, 1.0), (1.0, math.nan), (math.nan, math.nan)], "y double, x double")
+    assert all(math.isnan(r["a"]) for r in nan.selectExpr(f"{_atan2('y', 'x')} as a").collect())
